@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pestle.llm import exact_dedup, sharding
+from pestle.llm import bpe, chat, exact_dedup, pii, sharding, warc
 from pestle.llm.common import table
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chat(table(spark, sf_dir, "conversations"))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pii_spans(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
+    return found.select("doc_id", *map(count, pii.BASE), F.sha2(pii.joined_spans(base).cast("binary"), 256).alias("base_sha256"), pii.joined_spans(F.col("spans")).alias("spans"))
+
+
 def op5_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), shards=24)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -18,6 +29,27 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe.bpe_encode(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return records.select(
+        F.col("record_id").alias("page_id"),
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_digest"),
+        "record_type",
+        "refers_to",
+    )
+
+
 OP6_SQL = r"""
 WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS len,
                   regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents)
@@ -27,5 +59,22 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id,
 FROM n WINDOW w AS (PARTITION BY norm ORDER BY len DESC, doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op5_byte_shards, op6_exact_dedup)}
-ORACLES = {"op6_exact_dedup": OP6_SQL}
+OP1_SQL = """
+SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS position,
+       0::BIGINT AS n_calls, NULL::VARCHAR AS call_id, NULL::VARCHAR AS link, NULL::BIGINT AS call_turn,
+       0::BIGINT AS n_errors, []::VARCHAR[] AS errors,
+       '{"content":' || to_json(text) || ',"role":' || to_json(role) || '}' AS json
+FROM conversations
+"""
+
+OP9_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+     q AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes < 100 OR page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN payload_bytes < 100 OR page_id = first_id THEN NULL ELSE first_id END AS refers_to
+FROM q
+"""
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op3_pii, op5_byte_shards, op6_exact_dedup, op7_bpe_tree, op9_warc)}
+ORACLES = {"op1_chat_format": OP1_SQL, "op6_exact_dedup": OP6_SQL, "op9_warc": OP9_SQL}
