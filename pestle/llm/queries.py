@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pestle.llm import bpe, chat, exact_dedup, pii, sharding, warc
+from pestle.llm import bpe, chat, decontaminate, exact_dedup, pii, sharding, warc
 from pestle.llm.common import table
 
 
@@ -20,6 +20,19 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, pii.BASE), F.sha2(pii.joined_spans(base).cast("binary"), 256).alias("base_sha256"), pii.joined_spans(F.col("spans")).alias("spans"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near_items").cast("long").alias("n_near_items"),
+    )
+
+
 def op5_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), shards=24)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -76,5 +89,5 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM q
 """
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op3_pii, op5_byte_shards, op6_exact_dedup, op7_bpe_tree, op9_warc)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op3_pii, op4_decontaminate, op5_byte_shards, op6_exact_dedup, op7_bpe_tree, op9_warc)}
 ORACLES = {"op1_chat_format": OP1_SQL, "op6_exact_dedup": OP6_SQL, "op9_warc": OP9_SQL}
