@@ -9,7 +9,11 @@ from pestle.llm.common import shared_dir, text_of, written
 
 #: Fixed value: the characters that do not count, ``[\x20\x09-\x0D]``.
 IGNORED = " \t\n\x0b\x0c\r"
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Settings of the stream: state on disk, and no space set aside in advance by each partition's store.
+STREAM_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Groups of at least 1/HOT_SHARE of all rows (so at most HOT_SHARE of them) are salted in joins.
 HOT_SHARE = 1000
 SALTS = 64
@@ -48,17 +52,16 @@ def run_stream(spark: SparkSession, rows_path: str, schema, state_dir: str, max_
     ``state_dir`` keeps offsets and state: a later call with it continues where the last one ended.
     Returns ``digest, keep_id, keep_row, file, size``.
     """
-    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    old = {k: spark.conf.get(k, None) for k in STREAM_CONF}
+    for k, v in STREAM_CONF.items():
+        spark.conf.set(k, v)
     try:
         stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", max_bytes_per_batch).parquet(rows_path)
         q = stateful_groups(stream).writeStream.format("noop").outputMode("update").option("checkpointLocation", state_dir).trigger(availableNow=True).start()
         q.awaitTermination()
     finally:
-        if old is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     state = spark.read.format("statestore").load(state_dir)
     keeper, size = state.schema["value"].dataType.names[:2]
     value = F.col("value")
