@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pestle.llm import bpe, chat, decontaminate, exact_dedup, pii, sharding, warc
+from pestle.llm import bpe, chat, decontaminate, exact_dedup, near_dedup, pii, sharding, warc
 from pestle.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op7_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"), size=2)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.archive_pages(table(spark, sf_dir, "pages"))
     return records.select(
@@ -89,5 +93,5 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM q
 """
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op3_pii, op4_decontaminate, op5_byte_shards, op6_exact_dedup, op7_bpe_tree, op9_warc)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op3_pii, op4_decontaminate, op5_byte_shards, op6_exact_dedup, op7_bpe_tree, op8_minhash, op9_warc)}
 ORACLES = {"op1_chat_format": OP1_SQL, "op6_exact_dedup": OP6_SQL, "op9_warc": OP9_SQL}
