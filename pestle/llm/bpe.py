@@ -6,6 +6,8 @@ import json
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from operator import itemgetter
+from unicodedata import normalize
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,7 +19,8 @@ LEAF = 192
 #: Tokens on either side of a join that the first window holds; it doubles until both sides agree.
 WINDOW = 4
 #: Words whose encoding a worker keeps; the memory is cleared when it is full.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000
+FIRST, SECOND = itemgetter(0), itemgetter(1)
 #: Text characters in an output batch at most (one document at least).
 BATCH_CHARS = 4_000_000
 
@@ -29,6 +32,22 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+class Remembered(dict):
+    """Values by word, made when first asked for; long words are not kept."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: str):
+        value = self.make(word)
+        if len(word) <= 64:
+            if len(self) >= CACHED_WORDS:
+                self.clear()
+            self[word] = value
+        return value
+
+
 class WordBpe:
     """Encoder and decoder for one ``tokenizers`` file: split by pattern, byte level, word-end suffix."""
 
@@ -43,14 +62,20 @@ class WordBpe:
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"] or ""
         self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
-        self.normalizer = Tokenizer.from_str(spec).normalizer
+        library = Tokenizer.from_str(spec)
+        self.normalizer, self.model = library.normalizer, library.model
+        if [n["type"] for n in data["normalizer"]["normalizers"]] != ["NFC", "Replace", "Lowercase"]:
+            raise ValueError("not the normalizer that words() follows")
+        # Where Python's rules for white space and for lower-casing a sigma differ from the library's.
+        self.unlike = "\x1c\x1d\x1e\x1fΣ"
         split = data["pre_tokenizer"]["pretokenizers"][0]
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.added = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.added_pattern = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.symbols = byte_symbols()
         self.leaf, self.window = leaf, window
-        self.words: dict[str, tuple[bytes, str]] = {}
+        self.byte_map = {b: c for b, c in enumerate(self.symbols)}
+        self.known = Remembered(self.word)
 
     def merged(self, parts: list[str]) -> list[str]:
         """Apply merges, lowest rank first and leftmost among equals."""
@@ -106,28 +131,27 @@ class WordBpe:
             n *= 2
 
     def piece(self, text: str) -> list[str]:
-        """Tokens of one piece of the split pattern."""
-        parts = [self.symbols[b] for b in text.encode("utf-8")]
-        parts[-1] += self.suffix
-        return self.merged(parts) if len(parts) <= self.leaf else self.tree(parts)
+        """Tokens of one piece of the split pattern: short ones by the library's model."""
+        coded = text if text.isascii() and text.isprintable() else text.encode("utf-8").decode("latin-1").translate(self.byte_map)
+        if len(coded) <= self.leaf:
+            return [t.value for t in self.model.tokenize(coded)]
+        return self.tree([*coded[:-1], coded[-1] + self.suffix])
 
     def word(self, word: str) -> tuple[bytes, str]:
-        """Ids (little-endian, 32 bits) and decoded text of a stretch without white space."""
-        got = self.words.get(word)
-        if got is None:
-            tokens = [t for p in self.pattern.findall(word) for t in self.piece(p)]
-            ids = array("I", (self.vocab[t] for t in tokens))
-            got = ids.tobytes(), " ".join(tokens)
-            if len(word) <= 64:
-                if len(self.words) >= CACHED_WORDS:
-                    self.words.clear()
-                self.words[word] = got
-        return got
+        """Ids (unsigned, 32 bits) and decoded text of a stretch without white space."""
+        tokens = [t for p in self.pattern.findall(word) for t in self.piece(p)]
+        return array("I", map(self.vocab.__getitem__, tokens)).tobytes(), " ".join(tokens)
+
+    def words(self, text: str) -> list[str]:
+        """The normalised text's stretches without white space."""
+        if any(c in text for c in self.unlike):
+            return [w for w in self.normalizer.normalize_str(text).split(" ") if w]
+        return normalize("NFC", text).lower().split()
 
     def segments(self, text: str) -> Iterator[tuple[str, bool]]:
         """Stretches of text, and the added tokens between them."""
         at = 0
-        if self.added_pattern is not None:
+        if any(t in text for t in self.added):
             for m in self.added_pattern.finditer(text):
                 yield text[at : m.start()], False
                 yield m.group(), True
@@ -137,19 +161,14 @@ class WordBpe:
     def encode(self, text: str) -> tuple[bytes, str]:
         """Ids as little-endian unsigned 32-bit integers, and the decoded text."""
         ids, out = [], []
-        known = self.words
         for part, special in self.segments(text):
             if special:
                 ids.append(array("I", [self.added[part]]).tobytes())
                 out.append(part)
-            elif part:
-                for w in self.normalizer.normalize_str(part).split(" "):
-                    got = known.get(w)
-                    if got is None:
-                        got = self.word(w)
-                    if got[0]:
-                        ids.append(got[0])
-                        out.append(got[1])
+            elif part and (words := self.words(part)):
+                got = list(map(self.known.__getitem__, words))
+                ids += map(FIRST, got)
+                out += map(SECOND, got)
         return b"".join(ids), " ".join(out)
 
 
