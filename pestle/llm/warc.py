@@ -74,10 +74,10 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     )
     headers.write.option("compression", "zstd").parquet(f"{path}/headers")
 
-    stored = pages.select(F.col(id_col).alias("id"), F.sha2(payload, 256).alias("digest"), payload.alias("payload"))
-    holders = first.select("digest", F.col("first_id").alias("id"))
-    kept = stored.join(holders.hint("merge"), (stored["digest"] == holders["digest"]) & stored["id"].eqNullSafe(holders["id"]), "left_semi")
-    kept = kept.dropDuplicates(["digest", "id"])  # a repeated row
+    stored = pages.select(F.xxhash64(id_col).alias("key"), F.sha2(payload, 256).alias("digest"), payload.alias("payload"))
+    holders = first.select("digest", F.xxhash64("first_id").alias("key"))
+    kept = stored.join(holders.hint("merge"), ["digest", "key"], "left_semi")
+    kept = kept.dropDuplicates(["digest", "key"])  # a repeated row; dealt as the join is
     kept.select("digest", F.octet_length("payload").cast("long").alias("n_bytes"), "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
