@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pestle.llm import bpe, chat, decontaminate, exact_dedup, near_dedup, pii, sharding, warc
+from pestle.llm import bpe, chat, decontaminate, exact_dedup, html_extract, near_dedup, pii, quality, sharding, warc
 from pestle.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chat(table(spark, sf_dir, "conversations"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), quality.trusted_ids(table(spark, sf_dir, "labels")))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.pii_spans(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
@@ -67,6 +71,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_extract.extract_text(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 OP6_SQL = r"""
 WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS len,
                   regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents)
@@ -93,5 +102,5 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM q
 """
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op3_pii, op4_decontaminate, op5_byte_shards, op6_exact_dedup, op7_bpe_tree, op8_minhash, op9_warc)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality, op3_pii, op4_decontaminate, op5_byte_shards, op6_exact_dedup, op7_bpe_tree, op8_minhash, op9_warc, op10_html_text)}
 ORACLES = {"op1_chat_format": OP1_SQL, "op6_exact_dedup": OP6_SQL, "op9_warc": OP9_SQL}
