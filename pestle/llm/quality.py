@@ -102,11 +102,11 @@ def discounts(counts: DataFrame) -> DataFrame:
     """Modified Kneser-Ney discounts of one order by language, from the counts of counts."""
     n = [F.sum(F.when(F.col("n") == k, 1).otherwise(0)).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)]
     t = counts.filter("n > 0").groupBy("lang").agg(*n)
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    y = F.try_divide("n1", F.col("n1") + 2 * F.col("n2"))
 
     def d(k: int):
-        raw = k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")
-        return F.least(F.greatest(F.coalesce(F.nanvl(raw, F.lit(None)), F.lit(k / 2)), F.lit(k / 20)), F.lit(float(k))).alias(f"d{k}")
+        raw = k - (k + 1) * y * F.try_divide(f"n{k + 1}", f"n{k}")
+        return F.least(F.greatest(F.coalesce(raw, F.lit(k / 2)), F.lit(k / 20)), F.lit(float(k))).alias(f"d{k}")
 
     return t.select("lang", d(1), d(2), d(3))
 
@@ -183,7 +183,7 @@ def scored(docs: DataFrame, model, lang_col: str, text_col: str) -> DataFrame:
                 keys, values = tables[name]
                 codes, distinct = pd.factorize(packed)
                 at = np.minimum(np.searchsorted(keys, distinct), len(keys) - 1)
-                p = np.where(keys[at] == distinct, values[at], 0.0)[codes]
+                p = np.where(keys[at] == distinct, values[at].astype(np.float64), 0.0)[codes]
                 logp[rows] = np.diff(np.concatenate([[0.0], np.cumsum(p)])[starts])
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(size), pa.array(logp)], names=[*names, "__bytes", "__logp"])
 
