@@ -3,5 +3,6 @@
 
 def load():
     from pestle import registry
+    from pestle.plans import fingerprints, tabular  # noqa: F401
 
     return registry
