@@ -27,7 +27,15 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back: lineage ends there."""
     path = f"{shared_dir(df.sparkSession)}/{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`written` made and that nothing reads any more."""
+    for t in tables:
+        remove(t.sparkSession, t.written_to)
 
 
 def remove(spark: SparkSession, path: str) -> None:
