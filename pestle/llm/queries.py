@@ -33,7 +33,6 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
-        F.size("near_items").cast("long").alias("n_near_items"),
     )
 
 
@@ -102,5 +101,54 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM q
 """
 
+OP4_SQL = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+bw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (SELECT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS key FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM bw WHERE len(w) > 0)),
+pos AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS key FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
+hit AS (SELECT doc_id, item_id, pos.n, i FROM pos JOIN win USING (n, key)),
+cov AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
+it AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM hit GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN cov USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+
+OP5_SQL = r"""
+WITH b(k) AS (SELECT unnest(range(256))),
+t AS (SELECT list(list_reduce(list_concat([k], range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY k) AS t FROM b),
+d AS (SELECT doc_id, coalesce(text, '') AS text, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+x AS (SELECT doc_id, n, hex(encode(text)) AS h FROM d),
+c AS (SELECT doc_id, n + 8 AS size, xor(list_reduce(list_concat([4294967295], list_transform(regexp_extract_all(h, '..'), lambda y: ('0x' || y)::BIGINT)), lambda c, v: xor(t[(xor(c, v) & 255) + 1], c >> 8)), 4294967295) AS text_crc32 FROM x, t),
+p AS (SELECT doc_id, size, text_crc32, sum(size) OVER (ORDER BY doc_id, size, text_crc32 ROWS UNBOUNDED PRECEDING) - size AS start, sum(size) OVER () AS total FROM c),
+s AS (SELECT doc_id, size, text_crc32, start, CAST(least(23, ((2 * start + size) * 24) // (2 * total)) AS INTEGER) AS shard FROM p)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY start) - 1 AS slot, NULL::INTEGER AS grown_shard FROM s
+"""
+
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+k AS (SELECT doc_id, list(s ORDER BY s) AS k, any_value(n.n) AS n FROM s JOIN n USING (doc_id) GROUP BY doc_id),
+rare AS (SELECT s, count(*) AS df FROM s GROUP BY s),
+ranked AS (SELECT doc_id, s, n, row_number() OVER (PARTITION BY doc_id ORDER BY df, s) AS r FROM s JOIN n USING (doc_id) JOIN rare USING (s)),
+prefix AS (SELECT doc_id, s FROM ranked WHERE r <= n - ceil(0.8 * n) + 1),
+cand AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM prefix a JOIN prefix b ON a.s = b.s AND a.doc_id < b.doc_id),
+i AS (SELECT a, b, count(*) AS c FROM cand JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b AND y.s = x.s GROUP BY a, b),
+e AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(id, m) AS (SELECT DISTINCT a, a FROM l UNION SELECT l.b, r.m FROM r JOIN l ON l.a = r.id WHERE r.m < l.b),
+m AS (SELECT id, min(m) AS m FROM r GROUP BY id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.m, d.doc_id) AS component_id, d.doc_id = coalesce(m.m, d.doc_id) AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.id = d.doc_id
+"""
+
 QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality, op3_pii, op4_decontaminate, op5_byte_shards, op6_exact_dedup, op7_bpe_tree, op8_minhash, op9_warc, op10_html_text)}
-ORACLES = {"op1_chat_format": OP1_SQL, "op6_exact_dedup": OP6_SQL, "op9_warc": OP9_SQL}
+ORACLES = {
+    "op1_chat_format": OP1_SQL,
+    "op4_decontaminate": OP4_SQL,
+    "op5_byte_shards": OP5_SQL,
+    "op6_exact_dedup": OP6_SQL,
+    "op8_minhash": OP8_SQL,
+    "op9_warc": OP9_SQL,
+}
