@@ -11,8 +11,9 @@ from unicodedata import normalize
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from pestle.llm.common import text_of
+from pestle.llm.common import shuffle_partitions, text_of
 
 #: Symbols of the longest stretch that is encoded in one go; longer ones are halved.
 LEAF = 192
@@ -21,6 +22,8 @@ WINDOW = 4
 #: Words whose encoding a worker keeps; the memory is cleared when it is full.
 CACHED_WORDS = 500_000
 FIRST, SECOND = itemgetter(0), itemgetter(1)
+#: Texts of at least LONG characters are cut into stretches of at most STRETCH that are encoded by different tasks.
+LONG, STRETCH = 262_144, 16_384
 #: Text characters in an output batch at most (one document at least).
 BATCH_CHARS = 4_000_000
 
@@ -113,7 +116,9 @@ class WordBpe:
 
     def tree(self, parts: list[str]) -> list[str]:
         """Encode leaves on their own, then join neighbours level by level."""
-        level = [self.merged(parts[i : i + self.leaf]) for i in range(0, len(parts), self.leaf)]
+        return self.joined_all([self.merged(parts[i : i + self.leaf]) for i in range(0, len(parts), self.leaf)])
+
+    def joined_all(self, level: list[list[str]]) -> list[str]:
         while len(level) > 1:
             level = [self.joined(level[i], level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
         return level[0] if level else []
@@ -172,6 +177,42 @@ class WordBpe:
         return b"".join(ids), " ".join(out)
 
 
+    def stretches(self, text: str) -> Iterator[tuple[int, bool, bool, str]]:
+        """The text cut for different tasks, as (unit, whole, last, symbols): a whole unit is encoded on its
+        own; the other stretches of one unit are parts of one unsplit piece, in order, as byte symbols.
+        There is at least one."""
+        unit, held, size = 0, [], 0
+
+        def ready() -> Iterator[tuple[int, bool, bool, str]]:
+            nonlocal unit, held, size
+            if held:
+                yield unit, True, True, " ".join(held)
+                unit, held, size = unit + 1, [], 0
+
+        for part, special in self.segments(text):
+            if special:
+                yield from ready()
+                yield unit, True, True, part
+                unit += 1
+                continue
+            for word in self.words(part):
+                if len(word) < STRETCH // 4:
+                    held.append(word)
+                    size += len(word) + 1
+                    if size >= STRETCH:
+                        yield from ready()
+                    continue
+                yield from ready()
+                for piece in self.pattern.findall(word):
+                    coded = piece.encode("utf-8").decode("latin-1").translate(self.byte_map)
+                    for i in range(0, len(coded), STRETCH):
+                        yield unit, False, i + STRETCH >= len(coded), coded[i : i + STRETCH]
+                    unit += 1
+        yield from ready()
+        if not unit:
+            yield 0, True, True, ""
+
+
 @lru_cache(maxsize=2)
 def encoder(spec: str) -> WordBpe:
     return WordBpe(spec)
@@ -183,17 +224,20 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def bpe_encode(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def bpe_encode(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", long: int = LONG) -> DataFrame:
     """Encode and decode every whole text: ``id_col, ids (binary, little-endian uint32), decoded``.
 
     ``path``: a ``tokenizers`` JSON file; it is read on the driver and its fixed size is what the tasks
-    carry. Texts are independent, so the scan's partitions are encoded where they are read, without a
-    shuffle. Null and empty texts give no ids and an empty decoded text; ids may be null or repeat;
-    further columns are ignored.
+    carry. Texts are independent, so the scan's partitions are encoded where they are read. Only texts of
+    at least ``long`` characters are cut: their stretches are encoded in parallel by different tasks, and
+    one task for each text joins them, re-encoding windows around the cuts inside unsplit pieces.
+    Null and empty texts give no ids and an empty decoded text; ids may be null or repeat; further columns
+    are ignored.
     """
     with open(path or default_path(), encoding="utf-8") as f:
         spec = df.sparkSession.sparkContext.broadcast(f.read())
-    kind = df.schema[id_col].dataType
+    kind = df.schema[id_col].dataType.simpleString()
+    texts = df.select(df[id_col].alias("id"), text_of(df[text_col]).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(spec.value)
@@ -212,5 +256,56 @@ def bpe_encode(df: DataFrame, path: str | None = None, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([keys.slice(start, i - start), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], names=["id", "ids", "decoded"])
                 start = i
 
-    out = df.select(df[id_col].alias("id"), text_of(df[text_col]).alias("text")).mapInArrow(run, f"id {kind.simpleString()}, ids binary, decoded string")
-    return out.withColumnRenamed("id", id_col)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = encoder(spec.value)
+        for b in batches:
+            for i in range(b.num_rows):
+                rows = list(bpe.stretches(b.column(2)[i].as_py()))
+                n = len(rows)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([b.column(0)[i].as_py()] * n, b.schema.field(0).type), pa.array([b.column(1)[i].as_py()] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.bool_()), pa.array([r[3] for r in rows], pa.string())],
+                    names=["id", "row", "seq", "unit", "whole", "last", "part"],
+                )
+
+    def encode_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = encoder(spec.value)
+        for b in batches:
+            tokens, ids = [], []
+            for whole, last, part in zip(*(b.column(c).to_pylist() for c in (4, 5, 6))):
+                if whole:
+                    x, y = bpe.encode(part)
+                    ids.append(x)
+                    tokens.append([y])
+                else:
+                    symbols = list(part)
+                    if last:
+                        symbols[-1] += bpe.suffix
+                    ids.append(None)
+                    tokens.append(bpe.tree(symbols))
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(ids, pa.binary()), pa.array(tokens, pa.list_(pa.string()))], names=["id", "row", "seq", "unit", "whole", "ids", "tokens"])
+
+    def assemble(frame):
+        import pandas as pd
+
+        bpe = encoder(spec.value)
+        frame = frame.sort_values("seq")
+        ids, out = [], []
+        for _, unit in frame.groupby("unit", sort=True):
+            if unit["whole"].iloc[0]:
+                ids += list(unit["ids"])
+                out += [t[0] for t in unit["tokens"]]
+            else:
+                tokens = bpe.joined_all([list(t) for t in unit["tokens"]])
+                ids.append(array("I", map(bpe.vocab.__getitem__, tokens)).tobytes())
+                out += tokens
+        return pd.DataFrame({"id": frame["id"].iloc[:1], "ids": [b"".join(ids)], "decoded": [" ".join(out)]})
+
+    size = F.length("text")
+    schema = f"id {kind}, ids binary, decoded string"
+    short = texts.filter(size < long).mapInArrow(run, schema)
+    parts = texts.filter(size >= long).select("id", F.monotonically_increasing_id().alias("row"), "text")
+    parts = parts.mapInArrow(cut, f"id {kind}, row bigint, seq bigint, unit bigint, whole boolean, last boolean, part string")
+    parts = parts.repartition(shuffle_partitions(df.sparkSession), "row", "unit", "seq")
+    done = parts.mapInArrow(encode_parts, f"id {kind}, row bigint, seq bigint, unit bigint, whole boolean, ids binary, tokens array<string>")
+    whole = done.groupBy("row").applyInPandas(assemble, schema)
+    return short.unionByName(whole).withColumnRenamed("id", id_col)

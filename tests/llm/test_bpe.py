@@ -37,6 +37,17 @@ def test_tree_equals_whole_for_any_leaf():
             assert bpe.piece(w) == whole.piece(w), w
 
 
+def test_long_texts_are_cut_and_joined(spark, monkeypatch):
+    import pestle.llm.bpe as b
+
+    monkeypatch.setattr(b, "STRETCH", 64)
+    rows = [(i, t) for i, t in enumerate(TEXTS)] + [(100, "Zé" * 700 + " end " + "x1!" * 200), (101, None), (None, "a b " * 300)]
+    bpe = WordBpe(SPEC)
+    assert all(len(x) <= 64 + 64 // 4 for t in TEXTS for _, _, _, x in bpe.stretches(t) if x not in bpe.added)
+    got = bpe_encode(spark.createDataFrame(rows, "doc_id long, text string"), long=10).collect()
+    assert sorted((r.doc_id or -1, bytes(r.ids), r.decoded) for r in got) == sorted((i or -1, *library(t or "")) for i, t in rows)
+
+
 def test_frame(spark):
     rows = [(i, t, "x") for i, t in enumerate(TEXTS)] + [(None, None, "x"), (0, TEXTS[2], "y")]
     got = bpe_encode(spark.createDataFrame(rows, "doc_id long, text string, ids string")).collect()
