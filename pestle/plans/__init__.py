@@ -3,6 +3,6 @@
 
 def load():
     from pestle import registry
-    from pestle.plans import chemistry, fingerprints, tabular  # noqa: F401
+    from pestle.plans import chemistry, fingerprints, models, tabular  # noqa: F401
 
     return registry
