@@ -3,7 +3,9 @@
 Each stage takes ``(spark, docs, sf_dir)``, works on all rows of ``docs`` and returns a DataFrame that is
 written as Parquet and read again for the next one. All but the last return the columns of ``documents``.
 A document is identified by ``doc_id``: rows that share one are kept or dropped together, and rows
-without one are kept by the duplicate and leak stages. Null texts are empty texts.
+without one are kept by the duplicate and leak stages. Null texts are empty texts. As a stage's rows are
+written before the next one begins, each stage first deletes what earlier ones have left in the shared
+folder.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pestle.llm import bpe, decontaminate, exact_dedup, near_dedup, quality
-from pestle.llm.common import table, written
+from pestle.llm.common import release, settled, table, written
 
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
@@ -23,32 +25,37 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity under the trusted texts' model is ordinary for their language."""
+    release(spark)
     return quality.accepted_rows(docs, quality.trusted_ids(table(spark, sf_dir, "labels")))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    found = written(exact_dedup.exact_dedup(docs), "exact")
+    release(spark)
+    found = settled(exact_dedup.exact_dedup(docs), "exact")
     kept = found.filter("kept").select("doc_id")
     return without(docs, found.filter("NOT kept").select("doc_id").join(kept, "doc_id", "left_anti"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near-duplicates (shingles of five words, similarity 0.8)."""
-    found = written(near_dedup.near_dedup(docs), "near")
+    release(spark)
+    found = settled(near_dedup.near_dedup(docs), "near")
     kept = found.filter("kept").select("doc_id")
     return without(docs, found.filter("NOT kept").select("doc_id").join(kept, "doc_id", "left_anti"))
 
 
 def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return without(docs, found.filter("n_hit > 0").select("doc_id"))
+    release(spark)
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("n_hit > 0").select("doc_id")
+    return without(docs, settled(found, "leaks"))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids`` (binary, little-endian unsigned 32-bit integers), and ``decoded_chars``, the
     code points of the decoded text."""
+    release(spark)
     out = bpe.bpe_encode(docs)
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.length("decoded").cast("long").alias("decoded_chars"))
 
@@ -69,5 +76,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's rows are written in the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "_"), keep=True)
     return docs

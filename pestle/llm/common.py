@@ -9,9 +9,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def shared_dir(spark: SparkSession) -> str:
+#: Folders of intermediate tables that :func:`release` may delete.
+FOLDERS: list[str] = []
+
+
+def shared_dir(spark: SparkSession, keep: bool = False) -> str:
     """A fresh folder that driver and executors share, below ``spark.checkpoint.dir``.
 
+    Unless ``keep`` is set, :func:`release` deletes it.
+
     Only where that setting is unset (local tests) a temporary folder takes its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -20,18 +26,35 @@ def shared_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/pestle-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/pestle-{uuid.uuid4().hex}"
+    if not keep:
+        FOLDERS.append(path)
+    return path
+
 
+def release(spark: SparkSession) -> None:
+    """Delete all intermediate tables made so far; results that still read them must have been written."""
+    while FOLDERS:
+        remove(spark, FOLDERS.pop())
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
+
+def written(df: DataFrame, name: str = "table", keep: bool = False) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back: lineage ends there."""
-    path = f"{shared_dir(df.sparkSession)}/{name}"
+    path = f"{shared_dir(df.sparkSession, keep)}/{name}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
 
 
+def settled(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written down, after which all other intermediate tables are deleted."""
+    out = written(df, name, keep=True)
+    release(df.sparkSession)
+    FOLDERS.append(out.written_to.rpartition("/")[0])
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that :func:`written` made and that nothing reads any more."""
     for t in tables:

@@ -14,7 +14,7 @@ def test_stages_on_a_small_corpus(spark, tmp_path):
     table = spark.read.parquet(f"{tmp_path}/documents.parquet")
     at, kept = table, []
     for _, stage in cp.STAGES[:-1]:
-        at = cp.written(stage(spark, at, str(tmp_path)))
+        at = cp.written(stage(spark, at, str(tmp_path)), keep=True)
         assert at.columns == table.columns
         kept.append({r.doc_id for r in at.collect()})
     assert 103 not in kept[0] and 104 not in kept[0] and {*range(30), 100} <= kept[0] | {100}
