@@ -14,19 +14,36 @@ from pestle.chem.molecule import Molecule, SmilesError, parse_smiles
 from pestle.chem.smarts import Query
 
 
+#: Results that a task remembers by SMILES, so that repeated structures are read once.
+REMEMBERED = 50_000
+
+
+def _remembering(f: Callable[[Molecule], object], bad):
+    known: dict[str, object] = {}
+
+    def value(text: str | None):
+        if text is None:
+            return bad
+        if text not in known:
+            if len(known) >= REMEMBERED:
+                known.clear()
+            try:
+                known[text] = f(parse_smiles(text))
+            except (SmilesError, RecursionError):
+                known[text] = bad
+        return known[text]
+
+    return value
+
+
 def _map(f: Callable[[Molecule], object], returns: str):
     """A vectorised function SMILES -> value; null where the text is not a molecule."""
 
     @F.pandas_udf(returns)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        value = _remembering(f, None)
         for s in batches:
-            out = []
-            for text in s:
-                try:
-                    out.append(None if text is None else f(parse_smiles(text)))
-                except (SmilesError, RecursionError):
-                    out.append(None)
-            yield pd.Series(out, dtype=object)
+            yield pd.Series([value(text) for text in s], dtype=object)
 
     return run
 
@@ -35,14 +52,9 @@ def _struct(f: Callable[[Molecule], dict], schema: str):
     @F.pandas_udf(schema)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in schema.split(", ")]
+        value = _remembering(f, {})
         for s in batches:
-            rows = []
-            for text in s:
-                try:
-                    rows.append({} if text is None else f(parse_smiles(text)))
-                except (SmilesError, RecursionError):
-                    rows.append({})
-            yield pd.DataFrame([[r.get(n) for n in names] for r in rows], columns=names).convert_dtypes()
+            yield pd.DataFrame([[r.get(n) for n in names] for r in map(value, s)], columns=names).convert_dtypes()
 
     return run
 

@@ -61,5 +61,5 @@ def e_scaffolds(spark, sf):
 @query("e_fingerprint_neighbours")
 def e_fingerprint_neighbours(spark, sf):
     x = m.unique_molecules(structures(spark, sf), "p_partkey")
-    f = m.with_fingerprint(x).select(F.col("p_partkey").alias("id"), "fp")
+    f = s.saved(m.with_fingerprint(x).select(F.col("p_partkey").alias("id"), "fp"))
     return s.nearest(f, f, 3).withColumn("distance", F.round("distance", 6))
