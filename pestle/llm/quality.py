@@ -24,6 +24,8 @@ PASS_GRAMS = 3_000_000
 #: Text bytes handled at once, and distinct n-grams that a task holds before it passes counts on.
 CHUNK_BYTES, HELD_GRAMS = 2_000_000, 400_000
 UNKNOWN = "und"
+#: Languages up to which their discounts are broadcast; more meet the counts in a salted join.
+FEW_LANGUAGES, SALTS = 10_000, 64
 
 
 def language(docs: DataFrame, lang_col: str):
@@ -122,9 +124,17 @@ def train(counts: DataFrame) -> DataFrame:
         up, mask = levels[k + 1], (1 << 8 * k) - 1
         suffix = F.col("gram").bitwiseAND(F.lit(mask)).alias("gram")
         levels[k] = up.groupBy("lang", suffix).agg(F.sum((F.col("n") > 0).cast("long")).alias("n"))
+    few = counts.select("lang").distinct().limit(FEW_LANGUAGES + 1).count() <= FEW_LANGUAGES
     probability = None
     for k in range(1, ORDER + 1):
-        own = levels[k].join(discounts(levels[k]), "lang", "left")
+        # Never dealt by language alone: most n-grams may be of one language.
+        rates = discounts(levels[k])
+        if few:
+            own = levels[k].join(F.broadcast(rates), "lang", "left")
+        else:
+            salted = levels[k].withColumn("salt", F.pmod(F.xxhash64("gram"), F.lit(SALTS)).cast("int"))
+            spread = rates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            own = salted.join(spread.hint("merge"), ["lang", "salt"], "left").drop("salt")
         context = W.partitionBy("lang", "context")  # at most 256 rows
         own = own.withColumn("context", F.shiftright("gram", 8))
         d = F.when(F.col("n") == 0, 0.0).when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))

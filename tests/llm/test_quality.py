@@ -49,11 +49,16 @@ def corpus():
     return docs
 
 
-def test_probabilities_equal_a_plain_model(spark):
+def test_probabilities_equal_a_plain_model(spark, monkeypatch):
     docs = corpus()
     df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, lang string, gram int")
     trusted = spark.createDataFrame([(i,) for i in range(60)] + [(5,), (None,)], "doc_id long")
     model = {(r.lang, r.gram): r.logp for r in quality_model(df, trusted).collect()}
+    import pestle.llm.quality as q
+
+    monkeypatch.setattr(q, "FEW_LANGUAGES", 0)
+    again = {(r.lang, r.gram): r.logp for r in quality_model(df, trusted).collect()}
+    assert again.keys() == model.keys() and all(math.isclose(v, again[k], abs_tol=1e-6) for k, v in model.items())
     for lang in ("en", "fr"):
         p = brute_model([t or "" for i, t, k in docs if i is not None and i < 60 and k == lang])
         own = {g: v for (k, g), v in model.items() if k == lang}
