@@ -17,6 +17,8 @@ from pestle.llm.common import text_of, written
 ORDER = 5
 #: Quantiles of the trusted texts' perplexity, per language, between which a text is accepted.
 LOW, HIGH = 0.001, 0.997
+#: One trusted text in HELD_OUT trains nothing and sets the upper limit: the others' perplexity is too low for that.
+HELD_OUT = 5
 #: Trusted identifiers up to which they are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: N-grams that one scoring pass carries to the tasks; a larger table takes more passes.
@@ -159,6 +161,10 @@ def mark_trusted(docs: DataFrame, trusted: DataFrame, id_col: str) -> DataFrame:
     return joined.select(*docs.columns, F.coalesce("__trusted", F.lit(False)).alias("__trusted"))
 
 
+def held_out(id_col: str):
+    return F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(HELD_OUT)) == 0
+
+
 def loaded(shard: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     t = shard.select("lang", "gram", "logp").toArrow()
     lang = t.column("lang").combine_chunks().dictionary_encode()
@@ -204,7 +210,8 @@ def scored(docs: DataFrame, model, lang_col: str, text_col: str) -> DataFrame:
 def quality_model(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """The written table ``lang, gram, logp`` of a corpus and its trusted texts."""
     marked = mark_trusted(docs.select(id_col, lang_col, text_col), trusted, id_col)
-    counts = count_grams(marked.select(language(marked, lang_col).alias("lang"), text_of(text_col).alias("text"), "__trusted"))
+    training = F.col("__trusted") & F.coalesce(~held_out(id_col), F.lit(False))
+    counts = count_grams(marked.select(language(marked, lang_col).alias("lang"), text_of(text_col).alias("text"), training.alias("trusted")))
     return written(train(written(counts, "counts")), "model")
 
 
@@ -238,18 +245,21 @@ def judged(scores: DataFrame, limits: DataFrame, lang) -> DataFrame:
 
 
 def limits_of(scores: DataFrame, low: float, high: float) -> DataFrame:
-    """Per language the trusted texts' quantiles: ``__lang, __low, __high``."""
-    s = scores.filter("__trusted AND __bytes > 0").select("__lang", F.exp(-F.col("__logp") / F.col("__bytes")).alias("p"))
-    q = F.percentile_approx("p", F.array(F.lit(low), F.lit(high)), 10_000)
-    return s.groupBy("__lang").agg(q.alias("q")).select("__lang", F.col("q")[0].alias("__low"), F.col("q")[1].alias("__high"))
+    """Per language ``__lang, __low, __high``: the lower quantile of all trusted texts, the upper one of those
+    held out (of all, where a language has none held out)."""
+    s = scores.filter("__trusted AND __bytes > 0").select("__lang", "__held", F.exp(-F.col("__logp") / F.col("__bytes")).alias("p"))
+    q = lambda c, x: F.percentile_approx(c, x, 10_000)
+    held = F.when(F.col("__held"), F.col("p"))
+    return s.groupBy("__lang").agg(q("p", low).alias("__low"), F.coalesce(q(held, high), q("p", high)).alias("__high"))
 
 
 def classify(docs: DataFrame, trusted: DataFrame, low: float = LOW, high: float = HIGH, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", pass_grams: int = PASS_GRAMS) -> DataFrame:
     """Perplexity and verdict of every text: ``id_col, lang, n_bytes, perplexity, low, high, accepted``.
 
     ``trusted`` holds, in its first column, the identifiers of trusted texts. A text is accepted when its
-    perplexity per byte lies between its language's ``low`` and ``high`` quantile of the trusted texts:
-    above stands what the language does not look like, below what repeats itself. Null and empty texts
+    perplexity per byte lies between its language's ``low`` quantile of the trusted texts and the ``high``
+    quantile of those held out from training: above stands what the language does not look like, below
+    what repeats itself. Null and empty texts
     have no perplexity and are not accepted; a null language is the language ``und``; where a language
     has no trusted text, the limits are null and every text is accepted; ids may be null (never trusted)
     or repeat; an empty table gives no rows; further columns are ignored.
@@ -257,7 +267,7 @@ def classify(docs: DataFrame, trusted: DataFrame, low: float = LOW, high: float
     model = quality_model(docs, trusted, id_col, lang_col, text_col)
     base = mark_trusted(docs.select(id_col, lang_col, text_col), trusted, id_col)
     s = score(base, model, lang_col, text_col, pass_grams)
-    s = s.select(F.col(id_col).alias("__id"), language(s, lang_col).alias("__lang"), "__trusted", "__bytes", "__logp")
+    s = s.select(F.col(id_col).alias("__id"), language(s, lang_col).alias("__lang"), "__trusted", held_out(id_col).alias("__held"), "__bytes", "__logp")
     s = written(s, "scores")
     out = judged(s.withColumnRenamed("__lang", "__own"), written(limits_of(s, low, high), "limits"), F.col("__own"))
     return out.select(
@@ -272,7 +282,7 @@ def accepted_rows(docs: DataFrame, trusted: DataFrame, low: float = LOW, high: f
     model = quality_model(docs, trusted, id_col, lang_col, text_col)
     known = mark_trusted(docs.select(id_col, lang_col, text_col), trusted, id_col).filter("__trusted")
     t = score(known, model, lang_col, text_col, pass_grams)
-    t = t.select(language(t, lang_col).alias("__lang"), "__trusted", "__bytes", "__logp")
+    t = t.select(language(t, lang_col).alias("__lang"), "__trusted", held_out(id_col).alias("__held"), "__bytes", "__logp")
     limits = written(limits_of(t, low, high), "limits")
     s = score(docs, model, lang_col, text_col, pass_grams)
     return judged(s, limits, language(s, lang_col)).filter("__accepted").select(*docs.columns)

@@ -2,7 +2,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
-from pestle.llm.quality import ORDER, classify, count_grams, mark_trusted, quality_model, score
+from pestle.llm.quality import ORDER, classify, count_grams, held_out, mark_trusted, quality_model, score
 from pyspark.sql import functions as F
 
 
@@ -53,6 +53,8 @@ def test_probabilities_equal_a_plain_model(spark, monkeypatch):
     docs = corpus()
     df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, lang string, gram int")
     trusted = spark.createDataFrame([(i,) for i in range(60)] + [(5,), (None,)], "doc_id long")
+    held = {r.doc_id for r in df.filter(held_out("doc_id")).select("doc_id").distinct().collect()}
+    assert 0 < len(held) < 60
     model = {(r.lang, r.gram): r.logp for r in quality_model(df, trusted).collect()}
     import pestle.llm.quality as q
 
@@ -60,7 +62,7 @@ def test_probabilities_equal_a_plain_model(spark, monkeypatch):
     again = {(r.lang, r.gram): r.logp for r in quality_model(df, trusted).collect()}
     assert again.keys() == model.keys() and all(math.isclose(v, again[k], abs_tol=1e-6) for k, v in model.items())
     for lang in ("en", "fr"):
-        p = brute_model([t or "" for i, t, k in docs if i is not None and i < 60 and k == lang])
+        p = brute_model([t or "" for i, t, k in docs if i is not None and i < 60 and k == lang and i not in held])
         own = {g: v for (k, g), v in model.items() if k == lang}
         assert len(own) > 100
         for g, v in own.items():
@@ -74,10 +76,12 @@ def test_verdicts(spark):
     df = spark.createDataFrame([(*d, 1) for d in corpus()], "doc_id long, text string, lang string, perplexity int")
     trusted = spark.createDataFrame([(i,) for i in range(60)], "doc_id long")
     got = classify(df, trusted, 0.0, 1.0).collect()
+    held = {r.doc_id for r in df.filter(held_out("doc_id")).select("doc_id").distinct().collect()}
     assert len(got) == len(corpus())
     by = {r.doc_id: r for r in got if r.doc_id != 1}
     assert not any(by[200 + i].accepted for i in range(5))
-    assert all(by[i].accepted for i in range(60) if i != 1)
+    assert all(by[i].accepted for i in range(60) if i != 1 and i in held)
+    assert sum(by[i].accepted for i in range(90) if i != 1) >= 80
     assert not by[300].accepted and by[300].perplexity is None and by[301].n_bytes == 0
     assert by[302].lang == "und" and by[302].low is None and by[302].accepted and by[303].accepted
     assert by[None].accepted is not None
