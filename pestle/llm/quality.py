@@ -246,11 +246,12 @@ def judged(scores: DataFrame, limits: DataFrame, lang) -> DataFrame:
 
 def limits_of(scores: DataFrame, low: float, high: float) -> DataFrame:
     """Per language ``__lang, __low, __high``: the lower quantile of all trusted texts, the upper one of those
-    held out (of all, where a language has none held out)."""
+    held out (of all, where a language has none held out), raised by the share ``2 / sqrt(n)`` as ``n`` texts
+    tell a high quantile only so well."""
     s = scores.filter("__trusted AND __bytes > 0").select("__lang", "__held", F.exp(-F.col("__logp") / F.col("__bytes")).alias("p"))
     q = lambda c, x: F.percentile_approx(c, x, 10_000)
     held = F.when(F.col("__held"), F.col("p"))
-    return s.groupBy("__lang").agg(q("p", low).alias("__low"), F.coalesce(q(held, high), q("p", high)).alias("__high"))
+    return s.groupBy("__lang").agg(q("p", low).alias("__low"), (F.coalesce(q(held, high), q("p", high)) * (1 + 2 / F.sqrt(F.greatest(F.count(held), F.lit(1))))).alias("__high"))
 
 
 def classify(docs: DataFrame, trusted: DataFrame, low: float = LOW, high: float = HIGH, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", pass_grams: int = PASS_GRAMS) -> DataFrame:
