@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pestle.llm.common import text_of, written
+from pestle.llm.common import discard, text_of, written
 
 #: Bytes of an n-gram; packed big-endian into a bigint.
 ORDER = 5
@@ -180,9 +180,13 @@ def loaded(shard: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
 
 
 def scored(docs: DataFrame, model, lang_col: str, text_col: str) -> DataFrame:
-    """``docs`` with ``__bytes`` and ``__logp`` (summed over the text's bytes) added; ``model``: a broadcast."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    names = docs.columns
+    """``docs`` with ``__bytes`` and ``__logp`` (summed over the text's bytes) added; ``model``: a broadcast.
+
+    Where ``docs`` has a ``__logp`` of other n-grams, the last column but one and the last are added to.
+    """
+    again = "__logp" in docs.columns
+    names = [c for c in docs.columns if c not in ("__bytes", "__logp")]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names)
     n = len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,9 +205,11 @@ def scored(docs: DataFrame, model, lang_col: str, text_col: str) -> DataFrame:
                 at = np.minimum(np.searchsorted(keys, distinct), len(keys) - 1)
                 p = np.where(keys[at] == distinct, values[at].astype(np.float64), 0.0)[codes]
                 logp[rows] = np.diff(np.concatenate([[0.0], np.cumsum(p)])[starts])
+            if again:
+                logp += b.column(n + 2).to_numpy()
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(size), pa.array(logp)], names=[*names, "__bytes", "__logp"])
 
-    ready = docs.select("*", language(docs, lang_col).alias("__lang"), text_of(docs[text_col]).alias("__text"))
+    ready = docs.select(*names, language(docs, lang_col).alias("__lang"), text_of(docs[text_col]).alias("__text"), *(["__logp"] if again else []))
     return ready.mapInArrow(run, f"{schema}, __bytes bigint, __logp double")
 
 
@@ -218,22 +224,22 @@ def quality_model(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", l
 def score(docs: DataFrame, model: DataFrame, lang_col: str = "lang", text_col: str = "text", pass_grams: int = PASS_GRAMS) -> DataFrame:
     """``docs`` with ``__bytes`` and ``__logp`` added, in passes of about ``pass_grams`` n-grams.
 
-    A pass joins one hash shard of the model to the texts where they are read. With one shard nothing is
-    shuffled; with more, each pass leaves a written table of partial sums, which are added by row.
+    A pass joins one hash shard of the model to the texts where they are read; nothing is shuffled. With more
+    than one shard each pass but the last leaves a written table of the rows with their sums so far, which the
+    next one reads: a row and its sum are never apart, and ``docs`` is computed once.
     """
     spark = docs.sparkSession
     n = max(1, math.ceil(model.count() / pass_grams))
-    if n == 1:
-        return scored(docs, spark.sparkContext.broadcast(loaded(model)), lang_col, text_col)
-    rows = docs.select("*", F.monotonically_increasing_id().alias("__row"))
-    light = rows.select("__row", F.col(lang_col).alias("__l"), F.col(text_col).alias("__t"))
-    total = None
+    at = docs
     for k in range(n):
-        shard = spark.sparkContext.broadcast(loaded(model.filter(F.pmod(F.xxhash64("lang", "gram"), F.lit(n)) == k)))
-        part = written(scored(light, shard, "__l", "__t").select("__row", "__bytes", "__logp"), "partial")
-        total = part if total is None else total.unionByName(part)
-    total = total.groupBy("__row").agg(F.max("__bytes").alias("__bytes"), F.sum("__logp").alias("__logp"))
-    return rows.join(total.hint("merge"), "__row").select(*docs.columns, "__bytes", "__logp")
+        shard = model if n == 1 else model.filter(F.pmod(F.xxhash64("lang", "gram"), F.lit(n)) == k)
+        done = scored(at, spark.sparkContext.broadcast(loaded(shard)), lang_col, text_col)
+        if k == n - 1:
+            return done
+        done = written(done, "partial")
+        if k:
+            discard(at)
+        at = done
 
 
 def judged(scores: DataFrame, limits: DataFrame, lang) -> DataFrame:

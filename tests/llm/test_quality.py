@@ -103,3 +103,26 @@ def test_many_passes_and_joined_ids_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(q, "CHUNK_BYTES", 50)
     monkeypatch.setattr(q, "HELD_GRAMS", 10)
     assert counts() == want
+
+
+def test_rows_keep_their_scores_when_the_table_is_read_in_another_order(spark, monkeypatch):
+    import pestle.llm.quality as q
+
+    df = spark.createDataFrame(corpus(), "doc_id long, text string, lang string")
+    trusted = spark.createDataFrame([(i,) for i in range(60)], "doc_id long")
+
+    def anew(batches):  # another order whenever the plan is computed
+        import numpy as np
+
+        for b in batches:
+            yield b.take(np.random.default_rng().permutation(b.num_rows))
+
+    unsteady = df.mapInArrow(anew, df.schema)
+    model = quality_model(df, trusted)
+    rows = lambda d: sorted((str(r.doc_id), r.text or "", r["__bytes"], round(r["__logp"], 4)) for r in d.collect())
+    assert rows(score(unsteady, model, pass_grams=500)) == rows(score(df, model))
+    verdicts = lambda **k: sorted((str(r.doc_id), r.n_bytes, round(r.perplexity or 0, 4), r.accepted) for r in classify(df, trusted, **k).collect())
+    kept = lambda **k: sorted((str(r.doc_id), r.text) for r in q.accepted_rows(df, trusted, **k).collect())
+    want, whole = verdicts(), kept()
+    monkeypatch.setattr(q, "BROADCAST_IDS", 3)
+    assert verdicts(pass_grams=500) == want and kept(pass_grams=500) == whole
