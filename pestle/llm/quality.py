@@ -17,7 +17,7 @@ from pestle.llm.common import discard, text_of, written
 ORDER = 5
 #: Quantiles of the trusted texts' perplexity, per language, between which a text is accepted.
 LOW, HIGH = 0.001, 0.997
-#: One trusted text in HELD_OUT trains nothing and sets the upper limit: the others' perplexity is too low for that.
+#: Folds of the identifiers. A text is judged by the model of the trusted texts of the other folds, be it trusted or not.
 HELD_OUT = 5
 #: Trusted identifiers up to which they are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
@@ -72,65 +72,78 @@ def chunks(batch: pa.RecordBatch, lang: int, text: int) -> Iterator[tuple[str, l
             yield name, own, texts
 
 
-def count_grams(docs: DataFrame) -> DataFrame:
-    """``lang, gram, n`` over ``lang, text, trusted``: every n-gram, counted in trusted texts only."""
+def count_grams(docs: DataFrame, folds: int = 1) -> DataFrame:
+    """``lang, gram, n`` over ``lang, text, trusted``: every n-gram, counted in trusted texts only. With more
+    ``folds``, a last column tells a text's fold, and ``n0, n1, ...`` count the trusted texts of the others."""
+    names = ["n"] if folds == 1 else [f"n{k}" for k in range(folds)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pandas as pd
 
-        held: dict[str, pd.Series] = {}
+        held: dict[str, pd.DataFrame] = {}
 
         def out(name: str) -> pa.RecordBatch:
             s = held.pop(name)
-            return pa.RecordBatch.from_arrays([pa.array([name] * len(s)), pa.array(s.index.to_numpy()), pa.array(s.to_numpy())], names=["lang", "gram", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([name] * len(s)), pa.array(s.index.to_numpy()), *(pa.array(s[c].to_numpy()) for c in names)], names=["lang", "gram", *names])
 
         for b in batches:
             trusted = np.array(b.column(2).to_pylist(), bool)
+            fold = b.column(3).to_numpy() if folds > 1 else np.zeros(b.num_rows, np.int64)
             for name, rows, texts in chunks(b, 0, 1):
                 packed, starts = grams(texts)
                 if not len(packed):
                     continue
                 codes, keys = pd.factorize(packed)
                 weight = np.repeat(trusted[rows].astype(np.float64), np.diff(starts))
-                new = pd.Series(np.bincount(codes, weight, len(keys)).astype(np.int64), index=keys)
-                held[name] = new if name not in held else held[name].add(new, fill_value=0).astype(np.int64)
+                at = codes * folds + np.repeat(fold[rows], np.diff(starts))
+                own = np.bincount(at, weight, len(keys) * folds).astype(np.int64).reshape(-1, folds)
+                new = pd.DataFrame(own, index=keys, columns=names)
+                held[name] = new if name not in held else pd.concat([held[name], new]).groupby(level=0, sort=False).sum()
                 if len(held[name]) > HELD_GRAMS:
                     yield out(name)
         for name in list(held):
             yield out(name)
 
-    return docs.mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = docs.mapInArrow(run, f"lang string, gram bigint, {', '.join(f'{c} bigint' for c in names)}")
+    counts = counts.groupBy("lang", "gram").agg(*(F.sum(c).alias(c) for c in names))
+    if folds == 1:
+        return counts
+    total = sum((F.col(c) for c in names[1:]), F.col(names[0]))
+    return counts.select("lang", "gram", *((total - F.col(c)).alias(c) for c in names))
 
 
-def discounts(counts: DataFrame) -> DataFrame:
-    """Modified Kneser-Ney discounts of one order by language, from the counts of counts."""
-    n = [F.sum(F.when(F.col("n") == k, 1).otherwise(0)).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)]
-    t = counts.filter("n > 0").groupBy("lang").agg(*n)
-    y = F.try_divide("n1", F.col("n1") + 2 * F.col("n2"))
+def discounts(counts: DataFrame, names: list[str]) -> DataFrame:
+    """Modified Kneser-Ney discounts of one order by language, from the counts of counts: for each column
+    ``n`` of ``names``, ``n_d1, n_d2, n_d3``."""
+    n = [F.sum(F.when(F.col(c) == k, 1).otherwise(0)).cast("double").alias(f"{c}_{k}") for c in names for k in (1, 2, 3, 4)]
+    t = counts.groupBy("lang").agg(*n)
 
-    def d(k: int):
-        raw = k - (k + 1) * y * F.try_divide(f"n{k + 1}", f"n{k}")
-        return F.least(F.greatest(F.coalesce(raw, F.lit(k / 2)), F.lit(k / 20)), F.lit(float(k))).alias(f"d{k}")
+    def d(c: str, k: int):
+        y = F.try_divide(f"{c}_1", F.col(f"{c}_1") + 2 * F.col(f"{c}_2"))
+        raw = k - (k + 1) * y * F.try_divide(f"{c}_{k + 1}", f"{c}_{k}")
+        return F.least(F.greatest(F.coalesce(raw, F.lit(k / 2)), F.lit(k / 20)), F.lit(float(k))).alias(f"{c}_d{k}")
 
-    return t.select("lang", d(1), d(2), d(3))
+    return t.select("lang", *(d(c, k) for c in names for k in (1, 2, 3)))
 
 
 def train(counts: DataFrame) -> DataFrame:
-    """``lang, gram, logp``: the log probability of the last byte of every n-gram of the corpus.
+    """``lang, gram`` and, for each column of counts, the log probability of the last byte of every n-gram of
+    the corpus: ``logp, logp1, logp2, ...``.
 
     ``counts`` holds every n-gram of the corpus, with 0 for those not in trusted text, so that no lookup
     fails later. Lower orders count the distinct bytes before an n-gram; each order joins the one below.
     """
+    names = counts.columns[2:]
     levels = {ORDER: counts}
     for k in range(ORDER - 1, 0, -1):
         up, mask = levels[k + 1], (1 << 8 * k) - 1
         suffix = F.col("gram").bitwiseAND(F.lit(mask)).alias("gram")
-        levels[k] = up.groupBy("lang", suffix).agg(F.sum((F.col("n") > 0).cast("long")).alias("n"))
+        levels[k] = up.groupBy("lang", suffix).agg(*(F.sum((F.col(c) > 0).cast("long")).alias(c) for c in names))
     few = counts.select("lang").distinct().limit(FEW_LANGUAGES + 1).count() <= FEW_LANGUAGES
     probability = None
     for k in range(1, ORDER + 1):
         # Never dealt by language alone: most n-grams may be of one language.
-        rates = discounts(levels[k])
+        rates = discounts(levels[k], names)
         if few:
             own = levels[k].join(F.broadcast(rates), "lang", "left")
         else:
@@ -139,18 +152,20 @@ def train(counts: DataFrame) -> DataFrame:
             own = salted.join(spread.hint("merge"), ["lang", "salt"], "left").drop("salt")
         context = W.partitionBy("lang", "context")  # at most 256 rows
         own = own.withColumn("context", F.shiftright("gram", 8))
-        d = F.when(F.col("n") == 0, 0.0).when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        own = own.withColumn("d", d).withColumn("total", F.sum("n").over(context)).withColumn("left", F.sum("d").over(context))
-        seen = F.col("total") > 0
-        here = F.when(seen, (F.col("n") - F.col("d")) / F.col("total")).otherwise(0.0).alias("here")
-        rest = F.when(seen, F.col("left") / F.col("total")).otherwise(1.0).alias("rest")
+        d = lambda c: F.when(F.col(c) == 0, 0.0).when(F.col(c) == 1, F.col(f"{c}_d1")).when(F.col(c) == 2, F.col(f"{c}_d2")).otherwise(F.col(f"{c}_d3"))
+        own = own.select("lang", "gram", "context", *names, *(d(c).alias(f"{c}_d") for c in names))
+        own = own.select("*", *(F.sum(c).over(context).alias(f"{c}_total") for c in names), *(F.sum(f"{c}_d").over(context).alias(f"{c}_left") for c in names))
+        seen = lambda c: F.col(f"{c}_total") > 0
+        here = {c: F.when(seen(c), (F.col(c) - F.col(f"{c}_d")) / F.col(f"{c}_total")).otherwise(0.0) for c in names}
+        rest = {c: F.when(seen(c), F.col(f"{c}_left") / F.col(f"{c}_total")).otherwise(1.0) for c in names}
         if k == 1:
-            probability = own.select("lang", "gram", (here + rest / 256).alias("p"))
+            probability = own.select("lang", "gram", *((here[c] + rest[c] / 256).alias(c) for c in names))
         else:
-            own = own.select("lang", "gram", F.col("gram").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1)).alias("lower"), here, rest)
-            below = probability.select("lang", F.col("gram").alias("lower"), F.col("p").alias("below"))
-            probability = own.join(below, ["lang", "lower"]).select("lang", "gram", (F.col("here") + F.col("rest") * F.col("below")).alias("p"))
-    return probability.select("lang", "gram", F.log("p").cast("float").alias("logp"))
+            own = own.select("lang", "gram", F.col("gram").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1)).alias("lower"), *(here[c].alias(f"{c}_here") for c in names), *(rest[c].alias(f"{c}_rest") for c in names))
+            below = probability.select("lang", F.col("gram").alias("lower"), *(F.col(c).alias(f"{c}_below") for c in names))
+            mixed = lambda c: (F.col(f"{c}_here") + F.col(f"{c}_rest") * F.col(f"{c}_below")).alias(c)
+            probability = own.join(below, ["lang", "lower"]).select("lang", "gram", *map(mixed, names))
+    return probability.select("lang", "gram", *(F.log(c).cast("float").alias(f"logp{i or ''}") for i, c in enumerate(names)))
 
 
 def mark_trusted(docs: DataFrame, trusted: DataFrame, id_col: str) -> DataFrame:
@@ -161,16 +176,22 @@ def mark_trusted(docs: DataFrame, trusted: DataFrame, id_col: str) -> DataFrame:
     return joined.select(*docs.columns, F.coalesce("__trusted", F.lit(False)).alias("__trusted"))
 
 
+def fold_of(id_col: str):
+    return F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(HELD_OUT))
+
+
 def held_out(id_col: str):
-    return F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(HELD_OUT)) == 0
+    """Whether a text is of the first fold, which the model's column ``logp`` has not seen."""
+    return fold_of(id_col) == 0
 
 
 def loaded(shard: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    t = shard.select("lang", "gram", "logp").toArrow()
+    """By language the n-grams in order, and a row of log probabilities, one for each fold, for each of them."""
+    t = shard.toArrow()
     lang = t.column("lang").combine_chunks().dictionary_encode()
     if isinstance(lang, pa.ChunkedArray):
         lang = lang.combine_chunks()
-    code, gram, logp = lang.indices.to_numpy(), t.column("gram").to_numpy(), t.column("logp").to_numpy()
+    code, gram, logp = lang.indices.to_numpy(), t.column("gram").to_numpy(), np.stack([c.to_numpy() for c in t.columns[2:]], 1)
     out = {}
     for i, name in enumerate(lang.dictionary.to_pylist()):
         own = np.flatnonzero(code == i)
@@ -179,10 +200,11 @@ def loaded(shard: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def scored(docs: DataFrame, model, lang_col: str, text_col: str) -> DataFrame:
+def scored(docs: DataFrame, model, lang_col: str, text_col: str, fold) -> DataFrame:
     """``docs`` with ``__bytes`` and ``__logp`` (summed over the text's bytes) added; ``model``: a broadcast.
 
-    Where ``docs`` has a ``__logp`` of other n-grams, the last column but one and the last are added to.
+    A row's ``fold`` tells which of the model's columns scores it. Where ``docs`` has a ``__logp`` of other
+    n-grams, the sum goes on from there.
     """
     again = "__logp" in docs.columns
     names = [c for c in docs.columns if c not in ("__bytes", "__logp")]
@@ -195,6 +217,7 @@ def scored(docs: DataFrame, model, lang_col: str, text_col: str) -> DataFrame:
         tables = model.value
         for b in batches:
             logp, size = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64)
+            fold = b.column(n + 2).to_numpy()
             for name, rows, texts in chunks(b, n, n + 1):
                 packed, starts = grams(texts)
                 size[rows] = np.diff(starts)
@@ -203,26 +226,28 @@ def scored(docs: DataFrame, model, lang_col: str, text_col: str) -> DataFrame:
                 keys, values = tables[name]
                 codes, distinct = pd.factorize(packed)
                 at = np.minimum(np.searchsorted(keys, distinct), len(keys) - 1)
-                p = np.where(keys[at] == distinct, values[at].astype(np.float64), 0.0)[codes]
+                found = np.where((keys[at] == distinct)[:, None], values[at].astype(np.float64), 0.0)
+                p = found[codes, np.repeat(fold[rows], np.diff(starts))]
                 logp[rows] = np.diff(np.concatenate([[0.0], np.cumsum(p)])[starts])
             if again:
-                logp += b.column(n + 2).to_numpy()
+                logp += b.column(n + 3).to_numpy()
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(size), pa.array(logp)], names=[*names, "__bytes", "__logp"])
 
-    ready = docs.select(*names, language(docs, lang_col).alias("__lang"), text_of(docs[text_col]).alias("__text"), *(["__logp"] if again else []))
+    ready = docs.select(*names, language(docs, lang_col).alias("__lang"), text_of(docs[text_col]).alias("__text"), fold.cast("int").alias("__fold"), *(["__logp"] if again else []))
     return ready.mapInArrow(run, f"{schema}, __bytes bigint, __logp double")
 
 
 def quality_model(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """The written table ``lang, gram, logp`` of a corpus and its trusted texts."""
+    """The written table ``lang, gram, logp, logp1, ...`` of a corpus and its trusted texts: a model for each
+    fold, which has not seen the trusted texts of that fold."""
     marked = mark_trusted(docs.select(id_col, lang_col, text_col), trusted, id_col)
-    training = F.col("__trusted") & F.coalesce(~held_out(id_col), F.lit(False))
-    counts = count_grams(marked.select(language(marked, lang_col).alias("lang"), text_of(text_col).alias("text"), training.alias("trusted")))
+    counts = count_grams(marked.select(language(marked, lang_col).alias("lang"), text_of(text_col).alias("text"), F.col("__trusted").alias("trusted"), fold_of(id_col).alias("fold")), HELD_OUT)
     return written(train(written(counts, "counts")), "model")
 
 
-def score(docs: DataFrame, model: DataFrame, lang_col: str = "lang", text_col: str = "text", pass_grams: int = PASS_GRAMS) -> DataFrame:
-    """``docs`` with ``__bytes`` and ``__logp`` added, in passes of about ``pass_grams`` n-grams.
+def score(docs: DataFrame, model: DataFrame, lang_col: str = "lang", text_col: str = "text", pass_grams: int = PASS_GRAMS, fold=None) -> DataFrame:
+    """``docs`` with ``__bytes`` and ``__logp`` added, in passes of about ``pass_grams`` n-grams; ``fold``: a
+    column that tells by which fold's model a text is scored (the first, if not given).
 
     A pass joins one hash shard of the model to the texts where they are read; nothing is shuffled. With more
     than one shard each pass but the last leaves a written table of the rows with their sums so far, which the
@@ -233,7 +258,7 @@ def score(docs: DataFrame, model: DataFrame, lang_col: str = "lang", text_col: s
     at = docs
     for k in range(n):
         shard = model if n == 1 else model.filter(F.pmod(F.xxhash64("lang", "gram"), F.lit(n)) == k)
-        done = scored(at, spark.sparkContext.broadcast(loaded(shard)), lang_col, text_col)
+        done = scored(at, spark.sparkContext.broadcast(loaded(shard)), lang_col, text_col, F.lit(0) if fold is None else fold)
         if k == n - 1:
             return done
         done = written(done, "partial")
@@ -251,30 +276,28 @@ def judged(scores: DataFrame, limits: DataFrame, lang) -> DataFrame:
 
 
 def limits_of(scores: DataFrame, low: float, high: float) -> DataFrame:
-    """Per language ``__lang, __low, __high``: the lower quantile of all trusted texts, the upper one of those
-    held out (of all, where a language has none held out), raised by the share ``2 / sqrt(n)`` as ``n`` texts
-    tell a high quantile only so well."""
-    s = scores.filter("__trusted AND __bytes > 0").select("__lang", "__held", F.exp(-F.col("__logp") / F.col("__bytes")).alias("p"))
+    """Per language ``__lang, __low, __high``: the quantiles of all trusted texts, none of which its model has seen."""
+    s = scores.filter("__trusted AND __bytes > 0").select("__lang", F.exp(-F.col("__logp") / F.col("__bytes")).alias("p"))
     q = lambda c, x: F.percentile_approx(c, x, 10_000)
-    held = F.when(F.col("__held"), F.col("p"))
-    return s.groupBy("__lang").agg(q("p", low).alias("__low"), (F.coalesce(q(held, high), q("p", high)) * (1 + 2 / F.sqrt(F.greatest(F.count(held), F.lit(1))))).alias("__high"))
+    return s.groupBy("__lang").agg(q("p", low).alias("__low"), q("p", high).alias("__high"))
 
 
 def classify(docs: DataFrame, trusted: DataFrame, low: float = LOW, high: float = HIGH, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", pass_grams: int = PASS_GRAMS) -> DataFrame:
     """Perplexity and verdict of every text: ``id_col, lang, n_bytes, perplexity, low, high, accepted``.
 
     ``trusted`` holds, in its first column, the identifiers of trusted texts. A text is accepted when its
-    perplexity per byte lies between its language's ``low`` quantile of the trusted texts and the ``high``
-    quantile of those held out from training: above stands what the language does not look like, below
-    what repeats itself. Null and empty texts
+    perplexity per byte lies between its language's ``low`` and ``high`` quantiles of the trusted texts: above
+    stands what the language does not look like, below what repeats itself. Every text, trusted or not, is
+    scored by the model that has seen no trusted text of its fold, so that the limits hold for tables of any
+    size. Null and empty texts
     have no perplexity and are not accepted; a null language is the language ``und``; where a language
     has no trusted text, the limits are null and every text is accepted; ids may be null (never trusted)
     or repeat; an empty table gives no rows; further columns are ignored.
     """
     model = quality_model(docs, trusted, id_col, lang_col, text_col)
     base = mark_trusted(docs.select(id_col, lang_col, text_col), trusted, id_col)
-    s = score(base, model, lang_col, text_col, pass_grams)
-    s = s.select(F.col(id_col).alias("__id"), language(s, lang_col).alias("__lang"), "__trusted", held_out(id_col).alias("__held"), "__bytes", "__logp")
+    s = score(base, model, lang_col, text_col, pass_grams, fold_of(id_col))
+    s = s.select(F.col(id_col).alias("__id"), language(s, lang_col).alias("__lang"), "__trusted", "__bytes", "__logp")
     s = written(s, "scores")
     out = judged(s.withColumnRenamed("__lang", "__own"), written(limits_of(s, low, high), "limits"), F.col("__own"))
     return out.select(
@@ -288,10 +311,10 @@ def accepted_rows(docs: DataFrame, trusted: DataFrame, low: float = LOW, high: f
     (as long as one pass carries the model and the trusted identifiers)."""
     model = quality_model(docs, trusted, id_col, lang_col, text_col)
     known = mark_trusted(docs.select(id_col, lang_col, text_col), trusted, id_col).filter("__trusted")
-    t = score(known, model, lang_col, text_col, pass_grams)
-    t = t.select(language(t, lang_col).alias("__lang"), "__trusted", held_out(id_col).alias("__held"), "__bytes", "__logp")
+    t = score(known, model, lang_col, text_col, pass_grams, fold_of(id_col))
+    t = t.select(language(t, lang_col).alias("__lang"), "__trusted", "__bytes", "__logp")
     limits = written(limits_of(t, low, high), "limits")
-    s = score(docs, model, lang_col, text_col, pass_grams)
+    s = score(docs, model, lang_col, text_col, pass_grams, fold_of(id_col))
     return judged(s, limits, language(s, lang_col)).filter("__accepted").select(*docs.columns)
 
 

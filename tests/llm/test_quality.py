@@ -2,7 +2,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
-from pestle.llm.quality import ORDER, classify, count_grams, held_out, mark_trusted, quality_model, score
+from pestle.llm.quality import ORDER, classify, count_grams, fold_of, held_out, mark_trusted, quality_model, score
 from pyspark.sql import functions as F
 
 
@@ -126,3 +126,27 @@ def test_rows_keep_their_scores_when_the_table_is_read_in_another_order(spark, m
     want, whole = verdicts(), kept()
     monkeypatch.setattr(q, "BROADCAST_IDS", 3)
     assert verdicts(pass_grams=500) == want and kept(pass_grams=500) == whole
+
+
+def test_limits_are_quantiles_of_trusted_texts_at_any_size(spark):
+    docs = [d for d in corpus() if d[0] is not None and d[0] not in (1, 300, 301)]
+    trusted = spark.createDataFrame([(i,) for i in range(60)], "doc_id long")
+    for some in (docs, [d for d in docs if d[0] % 4 == 0]):
+        got = classify(spark.createDataFrame(some, "doc_id long, text string, lang string"), trusted, 0.0, 1.0).collect()
+        for lang in ("en", "fr"):
+            own = [r for r in got if r.lang == lang]
+            scores = [r.perplexity for r in own if r.doc_id < 60]
+            assert {(r.low, r.high) for r in own} == {(min(scores), max(scores))}
+
+
+def test_no_trusted_text_is_scored_by_a_model_that_has_seen_it(spark):
+    df = spark.createDataFrame(corpus(), "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in classify(df, spark.createDataFrame([(i,) for i in range(60)], "doc_id long")).collect()}
+    fold = {r.doc_id: r.f for r in df.select("doc_id", fold_of("doc_id").alias("f")).distinct().collect()}
+    text = {i: (t, k) for i, t, k in corpus() if i is not None and i < 60 and i != 1}
+    for f in range(5):
+        p = brute_model([t for i, t, k in corpus() if i is not None and i < 60 and k == "en" and fold[i] != f])
+        for i in [i for i in text if fold[i] == f and text[i][1] == "en"][:3]:
+            b = b"\0" * (ORDER - 1) + text[i][0].encode()
+            mean = sum(math.log(p(b[j : j + ORDER])) for j in range(len(b) - ORDER + 1)) / (len(b) - ORDER + 1)
+            assert math.isclose(got[i].perplexity, math.exp(-mean), rel_tol=1e-4)
