@@ -15,8 +15,13 @@ from pestle.llm.common import discard, text_of, written
 
 #: Bytes of an n-gram; packed big-endian into a bigint.
 ORDER = 5
-#: Quantiles of the trusted texts' perplexity, per language, between which a text is accepted.
-LOW, HIGH = 0.001, 0.997
+#: Quantiles of the trusted texts' perplexity and local statistics, per language, between which a text is
+#: accepted; chosen by the rates on the labels that the README gives.
+LOW, HIGH = 0.001, 0.99
+#: Bytes of a word at most (a longer one counts as several), bytes that a shorter one counts as, and words of a stretch.
+WORD, SHORT_WORD, STRETCH = 32, 6, 48
+#: Local statistics of a text, each with limits of its own: its least likely word, its likeliest and least likely stretch.
+LOCAL = ("__word", "__dull", "__odd")
 #: Folds of the identifiers. A text is judged by the model of the trusted texts of the other folds, be it trusted or not.
 HELD_OUT = 5
 #: Trusted identifiers up to which they are broadcast; more are joined by a shuffle.
@@ -200,14 +205,40 @@ def loaded(shard: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def scored(docs: DataFrame, model, lang_col: str, text_col: str, fold) -> DataFrame:
-    """``docs`` with ``__bytes`` and ``__logp`` (summed over the text's bytes) added; ``model``: a broadcast.
-
-    A row's ``fold`` tells which of the model's columns scores it. Where ``docs`` has a ``__logp`` of other
-    n-grams, the sum goes on from there.
+def word_starts(texts: list[bytes], starts: np.ndarray) -> np.ndarray:
+    """Where, in the texts one after the other, a word starts: after white space, and every WORD bytes."""
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    first = np.zeros(len(raw), bool)
+    first[1:] = raw[:-1] <= 32
+    first[starts[:-1][np.diff(starts) > 0]] = True
+    at = np.arange(len(raw))
+    return np.flatnonzero(first | ((at - np.maximum.accumulate(np.where(first, at, 0))) % WORD == 0))
+
+
+def local(sums: np.ndarray, words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """LOCAL of each text that is not empty, in nats a byte, from the log probabilities of its words."""
+    first = np.searchsorted(words, starts[:-1][np.diff(starts) > 0])
+    size = np.diff(np.append(words, starts[-1]))
+    worst = np.maximum.reduceat(-sums / np.maximum(size, SHORT_WORD), first)
+    # A stretch starts at each word that has enough words of its text behind it, and at the text's first.
+    end = np.repeat(np.append(first[1:], len(words)), np.diff(np.append(first, len(words))))
+    at = np.arange(len(words))
+    valid = at + STRETCH <= end
+    valid[first] = True
+    to = np.minimum(at + STRETCH, end)
+    total, length = np.concatenate([[0.0], np.cumsum(-sums)]), np.append(words, starts[-1])
+    mean = (total[to] - total[at]) / (length[to] - length[at])
+    return worst, np.minimum.reduceat(np.where(valid, mean, np.inf), first), np.maximum.reduceat(np.where(valid, mean, -np.inf), first)
+
+
+def scored(docs: DataFrame, model, lang_col: str, text_col: str, fold, last: bool) -> DataFrame:
+    """``docs`` with ``__bytes``, ``__logp`` (summed over the text's bytes) and LOCAL added; ``model``: a broadcast.
+
+    A row's ``fold`` tells which of the model's columns scores it. Where ``docs`` has the sums ``__words`` of
+    other n-grams, they go on from there; unless this is the ``last`` pass, only they are added.
     """
-    again = "__logp" in docs.columns
-    names = [c for c in docs.columns if c not in ("__bytes", "__logp")]
+    again = "__words" in docs.columns
+    names = [c for c in docs.columns if c != "__words"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names)
     n = len(names)
 
@@ -216,25 +247,36 @@ def scored(docs: DataFrame, model, lang_col: str, text_col: str, fold) -> DataFr
 
         tables = model.value
         for b in batches:
-            logp, size = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64)
+            logp, size, own = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64), np.full((len(LOCAL), b.num_rows), np.nan)
+            held = [b""] * b.num_rows
             fold = b.column(n + 2).to_numpy()
             for name, rows, texts in chunks(b, n, n + 1):
                 packed, starts = grams(texts)
                 size[rows] = np.diff(starts)
-                if not len(packed) or name not in tables:
+                if not len(packed):
                     continue
-                keys, values = tables[name]
-                codes, distinct = pd.factorize(packed)
-                at = np.minimum(np.searchsorted(keys, distinct), len(keys) - 1)
-                found = np.where((keys[at] == distinct)[:, None], values[at].astype(np.float64), 0.0)
-                p = found[codes, np.repeat(fold[rows], np.diff(starts))]
-                logp[rows] = np.diff(np.concatenate([[0.0], np.cumsum(p)])[starts])
-            if again:
-                logp += b.column(n + 3).to_numpy()
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(size), pa.array(logp)], names=[*names, "__bytes", "__logp"])
-
-    ready = docs.select(*names, language(docs, lang_col).alias("__lang"), text_of(docs[text_col]).alias("__text"), fold.cast("int").alias("__fold"), *(["__logp"] if again else []))
-    return ready.mapInArrow(run, f"{schema}, __bytes bigint, __logp double")
+                words = word_starts(texts, starts)
+                sums = np.zeros(len(words))
+                if name in tables:
+                    keys, values = tables[name]
+                    codes, distinct = pd.factorize(packed)
+                    at = np.minimum(np.searchsorted(keys, distinct), len(keys) - 1)
+                    found = np.where((keys[at] == distinct)[:, None], values[at].astype(np.float64), 0.0)
+                    sums = np.add.reduceat(found[codes, np.repeat(fold[rows], np.diff(starts))], words)
+                if again:
+                    sums += np.frombuffer(b"".join(b.column(n + 3)[i].as_py() for i in rows))
+                at = np.searchsorted(words, starts)
+                if last:
+                    logp[rows] = np.diff(np.concatenate([[0.0], np.cumsum(sums)])[at])
+                    own[:, np.array(rows)[np.diff(starts) > 0]] = local(sums, words, starts)
+                else:
+                    for i, x, y in zip(rows, at, at[1:]):
+                        held[i] = sums[x:y].tobytes()
+            added = [pa.array(size), pa.array(logp), *(pa.array(x, from_pandas=True) for x in own)] if last else [pa.array(held, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], *added], names=[*names, *(("__bytes", "__logp", *LOCAL) if last else ("__words",))])
+
+    ready = docs.select(*names, language(docs, lang_col).alias("__lang"), text_of(docs[text_col]).alias("__text"), fold.cast("int").alias("__fold"), *(["__words"] if again else []))
+    return ready.mapInArrow(run, f"{schema}, __bytes bigint, __logp double, {', '.join(f'{c} double' for c in LOCAL)}" if last else f"{schema}, __words binary")
 
 
 def quality_model(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
@@ -246,19 +288,19 @@ def quality_model(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", l
 
 
 def score(docs: DataFrame, model: DataFrame, lang_col: str = "lang", text_col: str = "text", pass_grams: int = PASS_GRAMS, fold=None) -> DataFrame:
-    """``docs`` with ``__bytes`` and ``__logp`` added, in passes of about ``pass_grams`` n-grams; ``fold``: a
+    """``docs`` with ``__bytes``, ``__logp`` and LOCAL added, in passes of about ``pass_grams`` n-grams; ``fold``: a
     column that tells by which fold's model a text is scored (the first, if not given).
 
     A pass joins one hash shard of the model to the texts where they are read; nothing is shuffled. With more
-    than one shard each pass but the last leaves a written table of the rows with their sums so far, which the
-    next one reads: a row and its sum are never apart, and ``docs`` is computed once.
+    than one shard each pass but the last leaves a written table of the rows with the sums of their words so far,
+    which the next one reads: a row and its sums are never apart, and ``docs`` is computed once.
     """
     spark = docs.sparkSession
     n = max(1, math.ceil(model.count() / pass_grams))
     at = docs
     for k in range(n):
         shard = model if n == 1 else model.filter(F.pmod(F.xxhash64("lang", "gram"), F.lit(n)) == k)
-        done = scored(at, spark.sparkContext.broadcast(loaded(shard)), lang_col, text_col, F.lit(0) if fold is None else fold)
+        done = scored(at, spark.sparkContext.broadcast(loaded(shard)), lang_col, text_col, F.lit(0) if fold is None else fold, k == n - 1)
         if k == n - 1:
             return done
         done = written(done, "partial")
@@ -271,15 +313,21 @@ def judged(scores: DataFrame, limits: DataFrame, lang) -> DataFrame:
     perplexity = F.when(F.col("__bytes") > 0, F.exp(-F.col("__logp") / F.col("__bytes")))
     s = scores.withColumn("__perplexity", perplexity).withColumn("__key", lang)
     s = s.join(limits, s["__key"] == limits["__lang"], "left")
-    known = F.col("__low").isNull() | F.col("__perplexity").between(F.col("__low"), F.col("__high"))
+    whole = F.col("__perplexity").between(F.col("__low"), F.col("__high"))
+    parts = (F.col("__word") <= F.col("__word_high")) & (F.col("__dull") >= F.col("__dull_low")) & (F.col("__odd") <= F.col("__odd_high"))
+    known = F.col("__low").isNull() | (whole & parts)
     return s.withColumn("__accepted", F.coalesce(F.col("__bytes") > 0, F.lit(False)) & F.coalesce(known, F.lit(False)))
 
 
 def limits_of(scores: DataFrame, low: float, high: float) -> DataFrame:
-    """Per language ``__lang, __low, __high``: the quantiles of all trusted texts, none of which its model has seen."""
-    s = scores.filter("__trusted AND __bytes > 0").select("__lang", F.exp(-F.col("__logp") / F.col("__bytes")).alias("p"))
+    """Per language ``__lang, __low, __high, __word_high, __dull_low, __odd_high``: the quantiles of all trusted
+    texts, none of which its model has seen."""
+    s = scores.filter("__trusted AND __bytes > 0").select("__lang", F.exp(-F.col("__logp") / F.col("__bytes")).alias("p"), *LOCAL)
     q = lambda c, x: F.percentile_approx(c, x, 10_000)
-    return s.groupBy("__lang").agg(q("p", low).alias("__low"), q("p", high).alias("__high"))
+    return s.groupBy("__lang").agg(
+        q("p", low).alias("__low"), q("p", high).alias("__high"),
+        q("__word", high).alias("__word_high"), q("__dull", low).alias("__dull_low"), q("__odd", high).alias("__odd_high"),
+    )
 
 
 def classify(docs: DataFrame, trusted: DataFrame, low: float = LOW, high: float = HIGH, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", pass_grams: int = PASS_GRAMS) -> DataFrame:
@@ -287,7 +335,9 @@ def classify(docs: DataFrame, trusted: DataFrame, low: float = LOW, high: float
 
     ``trusted`` holds, in its first column, the identifiers of trusted texts. A text is accepted when its
     perplexity per byte lies between its language's ``low`` and ``high`` quantiles of the trusted texts: above
-    stands what the language does not look like, below what repeats itself. Every text, trusted or not, is
+    stands what the language does not look like, below what repeats itself. So must its least likely word lie
+    below the ``high`` quantile of the trusted texts' least likely words (a few bad words hardly move the
+    mean), and its stretches of STRETCH words between those of theirs. Every text, trusted or not, is
     scored by the model that has seen no trusted text of its fold, so that the limits hold for tables of any
     size. Null and empty texts
     have no perplexity and are not accepted; a null language is the language ``und``; where a language
@@ -297,7 +347,7 @@ def classify(docs: DataFrame, trusted: DataFrame, low: float = LOW, high: float
     model = quality_model(docs, trusted, id_col, lang_col, text_col)
     base = mark_trusted(docs.select(id_col, lang_col, text_col), trusted, id_col)
     s = score(base, model, lang_col, text_col, pass_grams, fold_of(id_col))
-    s = s.select(F.col(id_col).alias("__id"), language(s, lang_col).alias("__lang"), "__trusted", "__bytes", "__logp")
+    s = s.select(F.col(id_col).alias("__id"), language(s, lang_col).alias("__lang"), "__trusted", "__bytes", "__logp", *LOCAL)
     s = written(s, "scores")
     out = judged(s.withColumnRenamed("__lang", "__own"), written(limits_of(s, low, high), "limits"), F.col("__own"))
     return out.select(
@@ -312,7 +362,7 @@ def accepted_rows(docs: DataFrame, trusted: DataFrame, low: float = LOW, high: f
     model = quality_model(docs, trusted, id_col, lang_col, text_col)
     known = mark_trusted(docs.select(id_col, lang_col, text_col), trusted, id_col).filter("__trusted")
     t = score(known, model, lang_col, text_col, pass_grams, fold_of(id_col))
-    t = t.select(language(t, lang_col).alias("__lang"), "__trusted", "__bytes", "__logp")
+    t = t.select(language(t, lang_col).alias("__lang"), "__trusted", "__bytes", "__logp", *LOCAL)
     limits = written(limits_of(t, low, high), "limits")
     s = score(docs, model, lang_col, text_col, pass_grams, fold_of(id_col))
     return judged(s, limits, language(s, lang_col)).filter("__accepted").select(*docs.columns)

@@ -150,3 +150,15 @@ def test_no_trusted_text_is_scored_by_a_model_that_has_seen_it(spark):
             b = b"\0" * (ORDER - 1) + text[i][0].encode()
             mean = sum(math.log(p(b[j : j + ORDER])) for j in range(len(b) - ORDER + 1)) / (len(b) - ORDER + 1)
             assert math.isclose(got[i].perplexity, math.exp(-mean), rel_tol=1e-4)
+
+
+def test_a_few_bad_words_and_repeated_stretches_are_seen_in_a_long_text(spark):
+    rng = random.Random(9)
+    words = [w for i, t, k in corpus() if i is not None and i < 60 and k == "en" for w in (t or "").split()]
+    fine = [" ".join(rng.choice(words) for _ in range(400)) for _ in range(3)]
+    docs = [*corpus(), (400, fine[0] + " QX@#ZK@ " + fine[1], "en"), (401, fine[0] + " " + "the " * 200 + fine[1], "en"), (402, fine[2], "en")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    trusted = spark.createDataFrame([(i,) for i in [*range(60), 402]], "doc_id long")
+    got = {r.doc_id: r for r in classify(df, trusted, 0.0, 1.0).collect()}
+    assert all(got[i].low <= got[i].perplexity <= got[i].high for i in (400, 401, 402))
+    assert [got[i].accepted for i in (400, 401, 402)] == [False, False, True]
