@@ -26,6 +26,8 @@ FIRST, SECOND = itemgetter(0), itemgetter(1)
 LONG, STRETCH = 262_144, 16_384
 #: Text characters in an output batch at most (one document at least).
 BATCH_CHARS = 4_000_000
+#: What a stretch of a long text is: normalised words, an added token, or a part of one unsplit piece.
+WORDS, ADDED, PART = "words", "added", "part"
 
 
 def byte_symbols() -> list[str]:
@@ -167,32 +169,39 @@ class WordBpe:
         """Ids as little-endian unsigned 32-bit integers, and the decoded text."""
         ids, out = [], []
         for part, special in self.segments(text):
-            if special:
-                ids.append(array("I", [self.added[part]]).tobytes())
-                out.append(part)
-            elif part and (words := self.words(part)):
-                got = list(map(self.known.__getitem__, words))
-                ids += map(FIRST, got)
-                out += map(SECOND, got)
+            x, y = self.encode_unit(part, ADDED) if special else self.encode_words(self.words(part))
+            if x:
+                ids.append(x)
+                out.append(y)
         return b"".join(ids), " ".join(out)
 
-
-    def stretches(self, text: str) -> Iterator[tuple[int, bool, bool, str]]:
-        """The text cut for different tasks, as (unit, whole, last, symbols): a whole unit is encoded on its
-        own; the other stretches of one unit are parts of one unsplit piece, in order, as byte symbols.
-        There is at least one."""
+    def encode_words(self, words: list[str]) -> tuple[bytes, str]:
+        """Ids and decoded text of normalised words."""
+        got = list(map(self.known.__getitem__, words))
+        return b"".join(map(FIRST, got)), " ".join(map(SECOND, got))
+
+    def encode_unit(self, part: str, kind: str) -> tuple[bytes, str]:
+        """Ids and decoded text of a stretch of WORDS, which are not normalised again, or of an ADDED token."""
+        if kind == ADDED:
+            return array("I", [self.added[part]]).tobytes(), part
+        return self.encode_words(part.split(" ") if part else [])
+
+    def stretches(self, text: str) -> Iterator[tuple[int, str, bool, str]]:
+        """The text cut for different tasks, as (unit, kind, last, symbols): WORDS and an ADDED token are encoded
+        on their own; the stretches of one unit of kind PART are parts of one unsplit piece, in order, as byte
+        symbols. There is at least one."""
         unit, held, size = 0, [], 0
 
-        def ready() -> Iterator[tuple[int, bool, bool, str]]:
+        def ready() -> Iterator[tuple[int, str, bool, str]]:
             nonlocal unit, held, size
             if held:
-                yield unit, True, True, " ".join(held)
+                yield unit, WORDS, True, " ".join(held)
                 unit, held, size = unit + 1, [], 0
 
         for part, special in self.segments(text):
             if special:
                 yield from ready()
-                yield unit, True, True, part
+                yield unit, ADDED, True, part
                 unit += 1
                 continue
             for word in self.words(part):
@@ -206,11 +215,11 @@ class WordBpe:
                 for piece in self.pattern.findall(word):
                     coded = piece.encode("utf-8").decode("latin-1").translate(self.byte_map)
                     for i in range(0, len(coded), STRETCH):
-                        yield unit, False, i + STRETCH >= len(coded), coded[i : i + STRETCH]
+                        yield unit, PART, i + STRETCH >= len(coded), coded[i : i + STRETCH]
                     unit += 1
         yield from ready()
         if not unit:
-            yield 0, True, True, ""
+            yield 0, WORDS, True, ""
 
 
 @lru_cache(maxsize=2)
@@ -263,17 +272,17 @@ def bpe_encode(df: DataFrame, path: str | None = None, id_col: str = "doc_id", t
                 rows = list(bpe.stretches(b.column(2)[i].as_py()))
                 n = len(rows)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([b.column(0)[i].as_py()] * n, b.schema.field(0).type), pa.array([b.column(1)[i].as_py()] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.bool_()), pa.array([r[3] for r in rows], pa.string())],
-                    names=["id", "row", "seq", "unit", "whole", "last", "part"],
+                    [pa.array([b.column(0)[i].as_py()] * n, b.schema.field(0).type), pa.array([b.column(1)[i].as_py()] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.bool_()), pa.array([r[3] for r in rows], pa.string())],
+                    names=["id", "row", "seq", "unit", "kind", "last", "part"],
                 )
 
     def encode_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(spec.value)
         for b in batches:
             tokens, ids = [], []
-            for whole, last, part in zip(*(b.column(c).to_pylist() for c in (4, 5, 6))):
-                if whole:
-                    x, y = bpe.encode(part)
+            for kind, last, part in zip(*(b.column(c).to_pylist() for c in (4, 5, 6))):
+                if kind != PART:
+                    x, y = bpe.encode_unit(part, kind)
                     ids.append(x)
                     tokens.append([y])
                 else:
@@ -282,7 +291,7 @@ def bpe_encode(df: DataFrame, path: str | None = None, id_col: str = "doc_id", t
                         symbols[-1] += bpe.suffix
                     ids.append(None)
                     tokens.append(bpe.tree(symbols))
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(ids, pa.binary()), pa.array(tokens, pa.list_(pa.string()))], names=["id", "row", "seq", "unit", "whole", "ids", "tokens"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(ids, pa.binary()), pa.array(tokens, pa.list_(pa.string()))], names=["id", "row", "seq", "unit", "kind", "ids", "tokens"])
 
     def assemble(frame):
         import pandas as pd
@@ -291,7 +300,7 @@ def bpe_encode(df: DataFrame, path: str | None = None, id_col: str = "doc_id", t
         frame = frame.sort_values("seq")
         ids, out = [], []
         for _, unit in frame.groupby("unit", sort=True):
-            if unit["whole"].iloc[0]:
+            if unit["kind"].iloc[0] != PART:
                 ids += list(unit["ids"])
                 out += [t[0] for t in unit["tokens"]]
             else:
@@ -304,8 +313,8 @@ def bpe_encode(df: DataFrame, path: str | None = None, id_col: str = "doc_id", t
     schema = f"id {kind}, ids binary, decoded string"
     short = texts.filter(size < long).mapInArrow(run, schema)
     parts = texts.filter(size >= long).select("id", F.monotonically_increasing_id().alias("row"), "text")
-    parts = parts.mapInArrow(cut, f"id {kind}, row bigint, seq bigint, unit bigint, whole boolean, last boolean, part string")
+    parts = parts.mapInArrow(cut, f"id {kind}, row bigint, seq bigint, unit bigint, kind string, last boolean, part string")
     parts = parts.repartition(shuffle_partitions(df.sparkSession), "row", "unit", "seq")
-    done = parts.mapInArrow(encode_parts, f"id {kind}, row bigint, seq bigint, unit bigint, whole boolean, ids binary, tokens array<string>")
+    done = parts.mapInArrow(encode_parts, f"id {kind}, row bigint, seq bigint, unit bigint, kind string, ids binary, tokens array<string>")
     whole = done.groupBy("row").applyInPandas(assemble, schema)
     return short.unionByName(whole).withColumnRenamed("id", id_col)

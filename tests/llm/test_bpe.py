@@ -48,6 +48,16 @@ def test_long_texts_are_cut_and_joined(spark, monkeypatch):
     assert sorted((r.doc_id or -1, bytes(r.ids), r.decoded) for r in got) == sorted((i or -1, *library(t or "")) for i, t in rows)
 
 
+def test_long_texts_are_normalised_once(spark, monkeypatch):
+    import pestle.llm.bpe as b
+
+    monkeypatch.setattr(b, "STRETCH", 64)
+    cases = ["a <|ENDOFTEXT|> b", "<|StartOfText|>", "a<|endoftext|>B <|ENDOFTEXT|>", "H\u0331 T\u0308 J\u030c W\u030a", "\x1cH\u0331 Σ\x1d <|ENDOFTEXT|>"]
+    rows = [(i, (t + " ") * 40) for i, t in enumerate(cases)]
+    got = bpe_encode(spark.createDataFrame(rows, "doc_id long, text string"), long=10).collect()
+    assert sorted((r.doc_id, bytes(r.ids), r.decoded) for r in got) == [(i, *library(t)) for i, t in rows]
+
+
 def test_frame(spark):
     rows = [(i, t, "x") for i, t in enumerate(TEXTS)] + [(None, None, "x"), (0, TEXTS[2], "y")]
     got = bpe_encode(spark.createDataFrame(rows, "doc_id long, text string, ids string")).collect()
