@@ -176,10 +176,10 @@ class Matcher:
                     break
                 p = postings(k)
                 want = begin + offset
-                i = np.searchsorted(p, want)
-                lo, hi = p[np.maximum(i - 1, 0)], p[np.minimum(i, len(p) - 1)]
-                best = np.where(np.abs(lo - want) <= np.abs(hi - want), lo, hi)
-                keep &= (np.abs(best - want) <= NEAR_SLOP) & (best >= starts[doc]) & (best < starts[doc + 1])
+                # The nearest postings of the document itself, which stand around the wanted place moved into it.
+                i = np.searchsorted(p, np.clip(want, starts[doc], starts[doc + 1] - 1))
+                near_by = np.stack([p[np.maximum(i - 1, 0)], p[np.minimum(i, len(p) - 1)]])
+                keep &= ((np.abs(near_by - want) <= NEAR_SLOP) & (near_by >= starts[doc]) & (near_by < starts[doc + 1])).any(0)
                 if not keep.any():
                     break
             if keep.any():

@@ -67,3 +67,19 @@ def test_empty_and_index(spark):
 
     index = build_index(d, None, f"{shared_dir(spark)}/all")
     assert sorted(r.n for r in term_counts(index).collect()) == [1, 2]
+
+
+def test_proximity_at_the_border_of_a_document():
+    import numpy as np
+    from pestle.llm.decontaminate import Matcher
+
+    # Term 2 ends the first document, just where it is wanted for the second one, which has it one word later.
+    texts = [[3, 2], [1, 2, 3], [2, 1], [2, 3]]
+    flat = np.concatenate(texts)
+    terms = np.unique(flat)
+    positions = np.concatenate([np.flatnonzero(flat == t) for t in terms])
+    offsets = np.concatenate([[0], np.cumsum([(flat == t).sum() for t in terms])])
+    starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    for window, want in (((2, 1), [1, 2]), ((1, 2), [1, 2])):
+        _, near = Matcher([window], {1: 1, 2: 5}).search(terms, offsets, positions, starts)
+        assert [d.tolist() for _, d in near] == [want]
