@@ -55,6 +55,23 @@ def settled(df: DataFrame, name: str = "table") -> DataFrame:
     return out
 
 
+#: Logical operators whose rows come in the same order each time they are computed.
+STEADY = {"Project", "Filter", "SubqueryAlias", "LogicalRelation", "Relation", "LocalRelation", "LogicalRDD"}
+
+
+def steady(df: DataFrame) -> DataFrame:
+    """``df`` itself where it only reads, selects and filters; anything else is written down, so that each
+    reading gives the same rows in the same order."""
+    todo = [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() not in STEADY or not node.deterministic():
+            return written(df, "steady")
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return df
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that :func:`written` made and that nothing reads any more."""
     for t in tables:

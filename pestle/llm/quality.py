@@ -1,4 +1,8 @@
-"""Quality classifier: an interpolated modified Kneser-Ney model over bytes, trained on trusted text."""
+"""Quality classifier: an interpolated modified Kneser-Ney model over bytes, trained on trusted text.
+
+Texts of one language and fold are handled in blocks. A block asks the shards of the model for its distinct
+n-grams, and the answers meet it again in a shuffle: neither the model nor any part of it passes the driver.
+"""
 
 from __future__ import annotations
 
@@ -7,11 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pestle.llm.common import discard, text_of, written
+from pestle.llm.common import shuffle_partitions, steady, written
 
 #: Bytes of an n-gram; packed big-endian into a bigint.
 ORDER = 5
@@ -21,15 +26,18 @@ LOW, HIGH = 0.001, 0.99
 #: Bytes of a word at most (a longer one counts as several), bytes that a shorter one counts as, and words of a stretch.
 WORD, SHORT_WORD, STRETCH = 32, 6, 48
 #: Local statistics of a text, each with limits of its own: its least likely word, its likeliest and least likely stretch.
-LOCAL = ("__word", "__dull", "__odd")
+LOCAL = ("word", "dull", "odd")
 #: Folds of the identifiers. A text is judged by the model of the trusted texts of the other folds, be it trusted or not.
 HELD_OUT = 5
 #: Trusted identifiers up to which they are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-#: N-grams that one scoring pass carries to the tasks; a larger table takes more passes.
-PASS_GRAMS = 3_000_000
-#: Text bytes handled at once, and distinct n-grams that a task holds before it passes counts on.
-CHUNK_BYTES, HELD_GRAMS = 2_000_000, 400_000
+#: Text bytes of a block (one text at least), text bytes that a task holds in unfinished blocks, and bytes whose
+#: n-grams are computed at once.
+BLOCK_BYTES, HELD_BYTES, PIECE = 2 << 20, 16 << 20, 1 << 18
+#: Distinct n-grams of blocks, of all languages together, that a task holds before it passes counts on.
+HELD_GRAMS = 400_000
+#: N-grams of one shard of the model: at most, and below which a smaller model is not cut further.
+SHARD_GRAMS, LEAST_SHARD = 2_000_000, 50_000
 UNKNOWN = "und"
 #: Languages up to which their discounts are broadcast; more meet the counts in a salted join.
 FEW_LANGUAGES, SALTS = 10_000, 64
@@ -39,80 +47,113 @@ def language(docs: DataFrame, lang_col: str):
     return F.coalesce(docs[lang_col].cast("string"), F.lit(UNKNOWN))
 
 
-def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram that ends at each byte of the texts, one after the other, and where each text starts."""
-    pad = b"\0" * (ORDER - 1)
-    raw = np.frombuffer(pad + pad.join(texts), np.uint8) if texts else np.empty(0, np.uint8)
-    lengths = np.array([len(t) for t in texts], np.int64)
-    starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-    if not starts[-1]:
-        return np.empty(0, np.int64), starts
-    n = len(raw) - ORDER + 1
-    packed = np.zeros(n, np.int64)
-    for k in range(ORDER):
-        packed <<= 8
-        packed |= raw[k : k + n]
-    # Position i of packed ends at raw[i + ORDER - 1]; a text starts (ORDER - 1) bytes later for each text before it.
-    at = np.repeat(np.arange(len(texts)) * (ORDER - 1), lengths) + np.arange(starts[-1])
-    return packed[at], starts
-
-
-def chunks(batch: pa.RecordBatch, lang: int, text: int) -> Iterator[tuple[str, list[int], list[bytes]]]:
-    """Rows of one language, with their texts as bytes, up to CHUNK_BYTES at a time."""
-    by: dict[str, list[int]] = {}
-    for i, name in enumerate(batch.column(lang).to_pylist()):
-        by.setdefault(name, []).append(i)
-    column = batch.column(text)
-    for name, rows in by.items():
-        own, texts, size = [], [], 0
-        for i in rows:
-            t = column[i].as_py().encode("utf-8")
-            own.append(i)
-            texts.append(t)
-            size += len(t)
-            if size >= CHUNK_BYTES:
-                yield name, own, texts
-                own, texts, size = [], [], 0
-        if own:
-            yield name, own, texts
-
-
-def count_grams(docs: DataFrame, folds: int = 1) -> DataFrame:
-    """``lang, gram, n`` over ``lang, text, trusted``: every n-gram, counted in trusted texts only. With more
-    ``folds``, a last column tells a text's fold, and ``n0, n1, ...`` count the trusted texts of the others."""
-    names = ["n"] if folds == 1 else [f"n{k}" for k in range(folds)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Texts:
+    """Texts one after the other as bytes, and the n-grams that end at each of their bytes."""
+
+    def __init__(self, texts: pa.Array):
+        column = pc.fill_null(texts, "").cast(pa.large_binary())
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        data = column.buffers()[2]
+        self.raw = (np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8))[offsets[0] : offsets[-1]]
+        #: where each text starts, and, last, where the last one ends
+        self.starts = (offsets - offsets[0]).astype(np.int64)
+
+    def pieces(self) -> Iterator[tuple[int, np.ndarray]]:
+        """First byte, and the n-grams that end at it and at the following ones, for all bytes in order."""
+        n = len(self.raw)
+        for at in range(0, n, PIECE):
+            to = min(at + PIECE, n)
+            base = max(0, at - ORDER + 1)
+            own = self.raw[base:to].astype(np.int64)
+            packed = own.copy()
+            for k in range(1, ORDER):
+                packed[k:] |= own[:-k] << 8 * k
+            packed = packed[at - base :]
+            # The first bytes of a text have zero bytes before them, not the text before.
+            for k in range(ORDER - 1):
+                first = self.starts[(self.starts + k >= at) & (self.starts + k < to)] + k - at
+                packed[first] &= (1 << 8 * (k + 1)) - 1
+            yield at, packed
+
+    def distinct(self) -> np.ndarray:
+        """The n-grams of all texts, ascending."""
         import pandas as pd
 
-        held: dict[str, pd.DataFrame] = {}
+        parts = [pd.unique(p) for _, p in self.pieces()]
+        return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.int64)
+
+
+def blocks_of(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[str, int, pa.RecordBatch, Texts]]:
+    """Language, fold, rows and texts of each block of ``row, lang, fold, trusted``; ``text`` is a field of ``row``."""
+    held: dict[tuple[str, int], list[pa.RecordBatch]] = {}
+    size: dict[tuple[str, int], int] = {}
+
+    def block(key: tuple[str, int]):
+        size.pop(key)
+        rows = pa.Table.from_batches(held.pop(key)).combine_chunks().to_batches()[0]
+        return *key, rows, Texts(rows.column(0).field(text))
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        lengths = np.diff(Texts(b.column(0).field(text)).starts)
+        names = b.column(1).dictionary_encode()
+        group = names.indices.to_numpy() * HELD_OUT + b.column(2).to_numpy()
+        for g in np.unique(group).tolist():
+            rows = np.flatnonzero(group == g)
+            key = (names.dictionary[g // HELD_OUT].as_py(), g % HELD_OUT)
+            run = np.cumsum(lengths[rows]) // BLOCK_BYTES
+            cuts = [0, *(np.flatnonzero(run[1:] != run[:-1]) + 1).tolist(), len(rows)]
+            for x, y in zip(cuts, cuts[1:]):
+                held.setdefault(key, []).append(b.take(pa.array(rows[x:y])))
+                size[key] = size.get(key, 0) + int(lengths[rows[x:y]].sum())
+                if size[key] >= BLOCK_BYTES:
+                    yield block(key)
+        while sum(size.values()) > HELD_BYTES:
+            yield block(max(size, key=size.get))
+    for key in list(held):
+        yield block(key)
+
+
+def count_grams(rows: DataFrame, text: str) -> DataFrame:
+    """``lang, gram, n0, n1, ...`` over ``row, lang, fold, trusted``: every n-gram, counted in the trusted texts
+    of all folds but the one of the column's number."""
+    names = [f"n{k}" for k in range(HELD_OUT)]
 
-        def out(name: str) -> pa.RecordBatch:
-            s = held.pop(name)
-            return pa.RecordBatch.from_arrays([pa.array([name] * len(s)), pa.array(s.index.to_numpy()), *(pa.array(s[c].to_numpy()) for c in names)], names=["lang", "gram", *names])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pandas as pd
 
-        for b in batches:
-            trusted = np.array(b.column(2).to_pylist(), bool)
-            fold = b.column(3).to_numpy() if folds > 1 else np.zeros(b.num_rows, np.int64)
-            for name, rows, texts in chunks(b, 0, 1):
-                packed, starts = grams(texts)
-                if not len(packed):
-                    continue
-                codes, keys = pd.factorize(packed)
-                weight = np.repeat(trusted[rows].astype(np.float64), np.diff(starts))
-                at = codes * folds + np.repeat(fold[rows], np.diff(starts))
-                own = np.bincount(at, weight, len(keys) * folds).astype(np.int64).reshape(-1, folds)
-                new = pd.DataFrame(own, index=keys, columns=names)
-                held[name] = new if name not in held else pd.concat([held[name], new]).groupby(level=0, sort=False).sum()
-                if len(held[name]) > HELD_GRAMS:
-                    yield out(name)
-        for name in list(held):
-            yield out(name)
-
-    counts = docs.mapInArrow(run, f"lang string, gram bigint, {', '.join(f'{c} bigint' for c in names)}")
+        held: dict[str, list[tuple[np.ndarray, np.ndarray, int]]] = {}
+        total = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            while held:
+                name, parts = held.popitem()
+                codes, keys = pd.factorize(np.concatenate([p[0] for p in parts]))
+                sums, at = np.zeros((len(keys), HELD_OUT), np.int64), 0
+                for own, n, fold in parts:
+                    sums[codes[at : at + len(own)], fold] += n  # an n-gram occurs once in a part
+                    at += len(own)
+                yield pa.RecordBatch.from_arrays([pa.DictionaryArray.from_arrays(np.zeros(len(keys), np.int32), [name]).cast(pa.string()), pa.array(keys), *(pa.array(sums[:, k]) for k in range(HELD_OUT))], names=["lang", "gram", *names])
+
+        for name, fold, block, texts in blocks_of(batches, text):
+            own = texts.distinct()
+            n = np.zeros(len(own), np.int64)
+            trusted = block.column(3).to_numpy(zero_copy_only=False)
+            if trusted.any():
+                for at, packed in texts.pieces():
+                    codes, keys = pd.factorize(packed)
+                    which = trusted[np.searchsorted(texts.starts, np.arange(at, at + len(packed)), side="right") - 1]
+                    n[np.searchsorted(own, keys)] += np.bincount(codes[which], minlength=len(keys))
+            held.setdefault(name, []).append((own, n, fold))
+            total += len(own)
+            if total > HELD_GRAMS:
+                yield from out()
+                total = 0
+        yield from out()
+
+    counts = rows.mapInArrow(run, f"lang string, gram bigint, {', '.join(f'{c} bigint' for c in names)}")
     counts = counts.groupBy("lang", "gram").agg(*(F.sum(c).alias(c) for c in names))
-    if folds == 1:
-        return counts
     total = sum((F.col(c) for c in names[1:]), F.col(names[0]))
     return counts.select("lang", "gram", *((total - F.col(c)).alias(c) for c in names))
 
@@ -173,46 +214,31 @@ def train(counts: DataFrame) -> DataFrame:
     return probability.select("lang", "gram", *(F.log(c).cast("float").alias(f"logp{i or ''}") for i, c in enumerate(names)))
 
 
-def mark_trusted(docs: DataFrame, trusted: DataFrame, id_col: str) -> DataFrame:
-    """``docs`` with a last column ``__trusted``; ``trusted`` holds the identifiers of trusted texts."""
-    ids = trusted.select(F.col(trusted.columns[0]).alias("__id")).filter("__id IS NOT NULL").distinct().withColumn("__trusted", F.lit(True))
+def mark_trusted(docs: DataFrame, trusted: DataFrame, id_col: str, lang_col: str) -> DataFrame:
+    """``row`` (all columns of ``docs``), ``lang``, ``fold`` and ``trusted``; ``trusted`` holds the identifiers of
+    trusted texts. The result is read more than once: rows come in the same order each time."""
+    ids = trusted.select(F.col(trusted.columns[0]).alias("id")).filter("id IS NOT NULL").distinct().withColumn("known", F.lit(True))
+    docs = steady(docs)
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), language(docs, lang_col).alias("lang"), fold_of(docs[id_col]).cast("int").alias("fold"))
     small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    joined = docs.join(F.broadcast(ids) if small else ids.hint("merge"), docs[id_col] == ids["__id"], "left")
-    return joined.select(*docs.columns, F.coalesce("__trusted", F.lit(False)).alias("__trusted"))
-
-
-def fold_of(id_col: str):
-    return F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(HELD_OUT))
+    joined = rows.join(F.broadcast(ids) if small else ids.hint("merge"), F.col("row").getField(id_col) == ids["id"], "left")
+    marked = joined.select("row", "lang", "fold", F.coalesce("known", F.lit(False)).alias("trusted"))
+    return marked if small else written(marked, "marked")
 
 
-def held_out(id_col: str):
-    """Whether a text is of the first fold, which the model's column ``logp`` has not seen."""
-    return fold_of(id_col) == 0
+def fold_of(id_col):
+    return F.pmod(F.xxhash64((F.col(id_col) if isinstance(id_col, str) else id_col).cast("string")), F.lit(HELD_OUT))
 
 
-def loaded(shard: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """By language the n-grams in order, and a row of log probabilities, one for each fold, for each of them."""
-    t = shard.toArrow()
-    lang = t.column("lang").combine_chunks().dictionary_encode()
-    if isinstance(lang, pa.ChunkedArray):
-        lang = lang.combine_chunks()
-    code, gram, logp = lang.indices.to_numpy(), t.column("gram").to_numpy(), np.stack([c.to_numpy() for c in t.columns[2:]], 1)
-    out = {}
-    for i, name in enumerate(lang.dictionary.to_pylist()):
-        own = np.flatnonzero(code == i)
-        own = own[np.argsort(gram[own])]
-        out[name] = (gram[own], logp[own])
-    return out
-
-
-def word_starts(texts: list[bytes], starts: np.ndarray) -> np.ndarray:
+def word_starts(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Where, in the texts one after the other, a word starts: after white space, and every WORD bytes."""
-    raw = np.frombuffer(b"".join(texts), np.uint8)
     first = np.zeros(len(raw), bool)
     first[1:] = raw[:-1] <= 32
     first[starts[:-1][np.diff(starts) > 0]] = True
-    at = np.arange(len(raw))
-    return np.flatnonzero(first | ((at - np.maximum.accumulate(np.where(first, at, 0))) % WORD == 0))
+    at = np.flatnonzero(first)
+    times = -(-np.diff(np.append(at, len(raw))) // WORD)
+    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    return np.repeat(at, times) + WORD * nth
 
 
 def local(sums: np.ndarray, words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -231,141 +257,222 @@ def local(sums: np.ndarray, words: np.ndarray, starts: np.ndarray) -> tuple[np.n
     return worst, np.minimum.reduceat(np.where(valid, mean, np.inf), first), np.maximum.reduceat(np.where(valid, mean, -np.inf), first)
 
 
-def scored(docs: DataFrame, model, lang_col: str, text_col: str, fold, last: bool) -> DataFrame:
-    """``docs`` with ``__bytes``, ``__logp`` (summed over the text's bytes) and LOCAL added; ``model``: a broadcast.
+def block_key(lang: str, fold: int, texts: Texts) -> bytes:
+    """Digest of a block's texts: the same in each reading of a table."""
+    from xxhash import xxh3_128
+
+    h = xxh3_128(f"{lang} {fold} ".encode())
+    h.update(texts.starts.tobytes())
+    h.update(np.ascontiguousarray(texts.raw))
+    return h.digest()
+
+
+def requests(rows: DataFrame, text: str, shards: int) -> DataFrame:
+    """``block, shard, lang, fold, grams``: the distinct n-grams that each block asks of each shard of the model."""
 
-    A row's ``fold`` tells which of the model's columns scores it. Where ``docs`` has the sums ``__words`` of
-    other n-grams, they go on from there; unless this is the ``last`` pass, only they are added.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1)
+        for lang, fold, _, texts in blocks_of(batches, text):
+            own = texts.distinct()
+            shard = own % shards
+            order = np.argsort(shard, kind="stable")
+            own, at = own[order], np.searchsorted(shard[order], np.arange(shards + 1))
+            asked = np.flatnonzero(np.diff(at))
+            grams = [pack.compress(np.diff(own[at[k] : at[k + 1]], prepend=0).tobytes()) for k in asked.tolist()]
+            n = len(asked)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block_key(lang, fold, texts)] * n, pa.binary()), pa.array(asked.astype(np.int32)), pa.array([lang] * n, pa.string()), pa.array([fold] * n, pa.int32()), pa.array(grams, pa.binary())],
+                names=["block", "shard", "lang", "fold", "grams"],
+            )
+
+    return rows.mapInArrow(run, "block binary, shard int, lang string, fold int, grams binary")
+
+
+def answers(asked: DataFrame, model: DataFrame, shards: int) -> DataFrame:
+    """``block, shard, values``: the log probabilities (32-bit floats) of the n-grams that ``asked`` holds.
+
+    A task reads the n-grams of one shard, and then the requests to it one batch at a time. Of a model too
+    small for one shard a partition, each shard is read by several tasks.
     """
-    again = "__words" in docs.columns
-    names = [c for c in docs.columns if c != "__words"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names)
-    n = len(names)
+    n = shuffle_partitions(asked.sparkSession)
+    salts = max(1, n // shards)
+    columns = [F.array(*model.columns[2:]).alias("logp"), *(F.lit(None).cast(t).alias(c) for c, t in (("block", "binary"), ("fold", "int"), ("grams", "binary")))]
+    held = model.select(F.pmod("gram", F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "lang", "gram", *columns)
+    asks = asked.select("shard", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int").alias("salt"), "lang", F.lit(None).cast("bigint").alias("gram"), F.lit(None).cast("array<float>").alias("logp"), "block", "fold", "grams")
+    both = held.unionByName(asks).repartitionById(shards * salts, F.col("shard") * salts + F.col("salt"))
+    both = both.sortWithinPartitions("shard", "salt", F.col("block").isNotNull(), "lang", "gram")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+        loaded: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        tables: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        for b in batches:
+            split = int(np.count_nonzero(b.column(5).is_null().to_numpy(zero_copy_only=False)))
+            if split:  # n-grams of the model, ascending in each language
+                part = b.slice(0, split)
+                lang = part.column(2).dictionary_encode()
+                code = lang.indices.to_numpy()
+                gram, logp = part.column(3).to_numpy(), part.column(4).flatten().to_numpy().reshape(split, -1)
+                for i, name in enumerate(lang.dictionary.to_pylist()):
+                    own = code == i
+                    loaded.setdefault(name, []).append((gram[own], logp[own]))
+            rest = b.slice(split)
+            if not rest.num_rows:
+                continue
+            while loaded:
+                name, parts = loaded.popitem()
+                tables[name] = tuple(np.concatenate(x) for x in zip(*parts))
+            values = []
+            for name, fold, grams in zip(*(rest.column(c).to_pylist() for c in (2, 6, 7))):
+                own = np.cumsum(np.frombuffer(unpack.decompress(grams), np.int64))
+                keys, logp = tables[name]
+                at = np.searchsorted(keys, own)
+                if at[-1] >= len(keys) or (keys[at] != own).any():
+                    raise ValueError("the table changed while it was read: an n-gram of it was not counted")
+                values.append(pack.compress(logp[at, fold].tobytes()))
+            yield pa.RecordBatch.from_arrays([rest.column(5), rest.column(0), pa.array(values, pa.binary())], names=["block", "shard", "values"])
+
+    return both.mapInArrow(run, "block binary, shard int, values binary")
+
+
+def packed_blocks(rows: DataFrame, text: str) -> DataFrame:
+    """``block, lang, data``: each block with its compressed rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3)
+        for lang, fold, block, texts in blocks_of(batches, text):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, block.schema) as out:
+                out.write_batch(block)
+            yield pa.RecordBatch.from_arrays([pa.array([block_key(lang, fold, texts)], pa.binary()), pa.array([lang]), pa.array([pack.compress(sink.getvalue())], pa.binary())], names=["block", "lang", "data"])
+
+    return rows.mapInArrow(run, "block binary, lang string, data binary")
+
+
+def scored_blocks(blocks: DataFrame, found: DataFrame, row_type: str, text: str, shards: int) -> DataFrame:
+    """``row, lang, trusted, bytes, logp`` (summed over the text's bytes) and LOCAL, of all rows of ``blocks``;
+    ``found`` has the answers to their requests."""
+    left = found.select("block", "shard", "values", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("binary").alias("data"))
+    right = blocks.select("block", F.lit(None).cast("int").alias("shard"), F.lit(None).cast("binary").alias("values"), "lang", "data")
+    both = left.unionByName(right).repartition(shuffle_partitions(blocks.sparkSession), "block").sortWithinPartitions("block", F.col("data").isNotNull())
+
+    def score(block: pa.RecordBatch, lang: str, values: dict[int, bytes]) -> pa.RecordBatch:
         import pandas as pd
 
-        tables = model.value
+        texts = Texts(block.column(0).field(text))
+        raw, starts = texts.raw, texts.starts
+        n, size = block.num_rows, np.diff(texts.starts)
+        logp, own = np.zeros(n), np.full((len(LOCAL), n), np.nan)
+        if len(raw):
+            keys = texts.distinct()
+            at, answer = keys % shards, np.empty(len(keys), np.float32)
+            for k in np.unique(at).tolist():
+                if k not in values:
+                    raise ValueError("the table changed while it was read: a block has no answer")
+                answer[at == k] = np.frombuffer(values[k], np.float32)
+            words = word_starts(raw, starts)
+            sums = np.zeros(len(words))
+            for first, packed in texts.pieces():
+                codes, distinct = pd.factorize(packed)
+                value = answer[np.searchsorted(keys, distinct)].astype(np.float64)[codes]
+                a, b = int(np.searchsorted(words, first, side="right")) - 1, int(np.searchsorted(words, first + len(packed)))
+                sums[a:b] += np.add.reduceat(value, np.maximum(words[a:b] - first, 0))
+            at = np.searchsorted(words, starts)
+            logp = np.diff(np.concatenate([[0.0], np.cumsum(sums)])[at])
+            own[:, size > 0] = local(sums, words, starts)
+        return pa.RecordBatch.from_arrays([block.column(0), pa.array([lang] * n, pa.string()), block.column(3), pa.array(size), pa.array(logp), *(pa.array(x, from_pandas=True) for x in own)], names=["row", "lang", "trusted", "bytes", "logp", *LOCAL])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor()
+        key, values = None, {}
         for b in batches:
-            logp, size, own = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64), np.full((len(LOCAL), b.num_rows), np.nan)
-            held = [b""] * b.num_rows
-            fold = b.column(n + 2).to_numpy()
-            for name, rows, texts in chunks(b, n, n + 1):
-                packed, starts = grams(texts)
-                size[rows] = np.diff(starts)
-                if not len(packed):
+            for i in range(b.num_rows):
+                if (own := b.column(0)[i].as_py()) != key:
+                    key, values = own, {}
+                data = b.column(4)[i].as_py()
+                if data is None:
+                    values[b.column(1)[i].as_py()] = unpack.decompress(b.column(2)[i].as_py())
                     continue
-                words = word_starts(texts, starts)
-                sums = np.zeros(len(words))
-                if name in tables:
-                    keys, values = tables[name]
-                    codes, distinct = pd.factorize(packed)
-                    at = np.minimum(np.searchsorted(keys, distinct), len(keys) - 1)
-                    found = np.where((keys[at] == distinct)[:, None], values[at].astype(np.float64), 0.0)
-                    sums = np.add.reduceat(found[codes, np.repeat(fold[rows], np.diff(starts))], words)
-                if again:
-                    sums += np.frombuffer(b"".join(b.column(n + 3)[i].as_py() for i in rows))
-                at = np.searchsorted(words, starts)
-                if last:
-                    logp[rows] = np.diff(np.concatenate([[0.0], np.cumsum(sums)])[at])
-                    own[:, np.array(rows)[np.diff(starts) > 0]] = local(sums, words, starts)
-                else:
-                    for i, x, y in zip(rows, at, at[1:]):
-                        held[i] = sums[x:y].tobytes()
-            added = [pa.array(size), pa.array(logp), *(pa.array(x, from_pandas=True) for x in own)] if last else [pa.array(held, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], *added], names=[*names, *(("__bytes", "__logp", *LOCAL) if last else ("__words",))])
-
-    ready = docs.select(*names, language(docs, lang_col).alias("__lang"), text_of(docs[text_col]).alias("__text"), fold.cast("int").alias("__fold"), *(["__words"] if again else []))
-    return ready.mapInArrow(run, f"{schema}, __bytes bigint, __logp double, {', '.join(f'{c} double' for c in LOCAL)}" if last else f"{schema}, __words binary")
-
-
-def quality_model(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """The written table ``lang, gram, logp, logp1, ...`` of a corpus and its trusted texts: a model for each
-    fold, which has not seen the trusted texts of that fold."""
-    marked = mark_trusted(docs.select(id_col, lang_col, text_col), trusted, id_col)
-    counts = count_grams(marked.select(language(marked, lang_col).alias("lang"), text_of(text_col).alias("text"), F.col("__trusted").alias("trusted"), fold_of(id_col).alias("fold")), HELD_OUT)
-    return written(train(written(counts, "counts")), "model")
-
-
-def score(docs: DataFrame, model: DataFrame, lang_col: str = "lang", text_col: str = "text", pass_grams: int = PASS_GRAMS, fold=None) -> DataFrame:
-    """``docs`` with ``__bytes``, ``__logp`` and LOCAL added, in passes of about ``pass_grams`` n-grams; ``fold``: a
-    column that tells by which fold's model a text is scored (the first, if not given).
-
-    A pass joins one hash shard of the model to the texts where they are read; nothing is shuffled. With more
-    than one shard each pass but the last leaves a written table of the rows with the sums of their words so far,
-    which the next one reads: a row and its sums are never apart, and ``docs`` is computed once.
+                with pa.ipc.open_stream(unpack.decompress(data)) as source:
+                    for block in source:
+                        yield score(block, b.column(3)[i].as_py(), values)
+
+    return both.mapInArrow(run, f"row {row_type}, lang string, trusted boolean, bytes bigint, logp double, {', '.join(f'{c} double' for c in LOCAL)}")
+
+
+def quality_model(rows: DataFrame, text: str) -> DataFrame:
+    """The written table ``lang, gram, logp, logp1, ...`` of a corpus (``row, lang, fold, trusted``): a model for
+    each fold, which has not seen the trusted texts of that fold."""
+    return written(train(written(count_grams(rows, text), "counts")), "model")
+
+
+def score(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """``row`` (all columns of ``docs``), ``lang, trusted, bytes, logp`` and LOCAL of every row of ``docs``.
+
+    Shuffled are the n-gram counts, each block's distinct n-grams and their log probabilities, and the blocks
+    themselves, compressed, once. What a task holds is bounded by a shard of the model and a few blocks.
     """
-    spark = docs.sparkSession
-    n = max(1, math.ceil(model.count() / pass_grams))
-    at = docs
-    for k in range(n):
-        shard = model if n == 1 else model.filter(F.pmod(F.xxhash64("lang", "gram"), F.lit(n)) == k)
-        done = scored(at, spark.sparkContext.broadcast(loaded(shard)), lang_col, text_col, F.lit(0) if fold is None else fold, k == n - 1)
-        if k == n - 1:
-            return done
-        done = written(done, "partial")
-        if k:
-            discard(at)
-        at = done
-
-
-def judged(scores: DataFrame, limits: DataFrame, lang) -> DataFrame:
-    perplexity = F.when(F.col("__bytes") > 0, F.exp(-F.col("__logp") / F.col("__bytes")))
-    s = scores.withColumn("__perplexity", perplexity).withColumn("__key", lang)
-    s = s.join(limits, s["__key"] == limits["__lang"], "left")
-    whole = F.col("__perplexity").between(F.col("__low"), F.col("__high"))
-    parts = (F.col("__word") <= F.col("__word_high")) & (F.col("__dull") >= F.col("__dull_low")) & (F.col("__odd") <= F.col("__odd_high"))
-    known = F.col("__low").isNull() | (whole & parts)
-    return s.withColumn("__accepted", F.coalesce(F.col("__bytes") > 0, F.lit(False)) & F.coalesce(known, F.lit(False)))
+    rows = mark_trusted(docs, trusted, id_col, lang_col)
+    model = quality_model(rows, text_col)
+    n = model.count()
+    shards = max(1, math.ceil(n / SHARD_GRAMS), min(shuffle_partitions(docs.sparkSession), math.ceil(n / LEAST_SHARD)))
+    found = answers(requests(rows, text_col, shards), model, shards)
+    return scored_blocks(packed_blocks(rows, text_col), found, rows.schema["row"].dataType.simpleString(), text_col, shards)
 
 
 def limits_of(scores: DataFrame, low: float, high: float) -> DataFrame:
-    """Per language ``__lang, __low, __high, __word_high, __dull_low, __odd_high``: the quantiles of all trusted
-    texts, none of which its model has seen."""
-    s = scores.filter("__trusted AND __bytes > 0").select("__lang", F.exp(-F.col("__logp") / F.col("__bytes")).alias("p"), *LOCAL)
+    """Per language its trusted texts and their quantiles (no text was seen by the model that scored it):
+    ``own, n_trusted, low, high, word_high, dull_low, odd_high``."""
+    s = scores.filter("trusted AND bytes > 0").select("lang", F.exp(-F.col("logp") / F.col("bytes")).alias("p"), *LOCAL)
     q = lambda c, x: F.percentile_approx(c, x, 10_000)
-    return s.groupBy("__lang").agg(
-        q("p", low).alias("__low"), q("p", high).alias("__high"),
-        q("__word", high).alias("__word_high"), q("__dull", low).alias("__dull_low"), q("__odd", high).alias("__odd_high"),
+    return s.groupBy(F.col("lang").alias("own")).agg(
+        F.count("*").alias("n_trusted"), q("p", low).alias("low"), q("p", high).alias("high"),
+        q("word", high).alias("word_high"), q("dull", low).alias("dull_low"), q("odd", high).alias("odd_high"),
     )
 
 
-def classify(docs: DataFrame, trusted: DataFrame, low: float = LOW, high: float = HIGH, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", pass_grams: int = PASS_GRAMS) -> DataFrame:
-    """Perplexity and verdict of every text: ``id_col, lang, n_bytes, perplexity, low, high, accepted``.
+def judged(scores: DataFrame, limits: DataFrame) -> DataFrame:
+    """``scores`` with ``perplexity, n_trusted, low, high, judged, accepted``; ``limits`` has one row a language."""
+    s = scores.withColumn("perplexity", F.when(F.col("bytes") > 0, F.exp(-F.col("logp") / F.col("bytes"))))
+    s = s.join(limits, s["lang"] == limits["own"], "left")
+    fine = F.col("perplexity").between(F.col("low"), F.col("high")) & (F.col("word") <= F.col("word_high")) & (F.col("dull") >= F.col("dull_low")) & (F.col("odd") <= F.col("odd_high"))
+    s = s.withColumn("judged", F.col("low").isNotNull())
+    return s.withColumn("accepted", F.coalesce((F.col("bytes") > 0) & (~F.col("judged") | fine), F.lit(False)))
+
+
+def classify(docs: DataFrame, trusted: DataFrame, low: float = LOW, high: float = HIGH, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """Perplexity and verdict of every text: ``id_col, lang, n_bytes, perplexity, low, high, n_trusted, judged,
+    accepted``.
 
     ``trusted`` holds, in its first column, the identifiers of trusted texts. A text is accepted when its
-    perplexity per byte lies between its language's ``low`` and ``high`` quantiles of the trusted texts: above
-    stands what the language does not look like, below what repeats itself. So must its least likely word lie
-    below the ``high`` quantile of the trusted texts' least likely words (a few bad words hardly move the
-    mean), and its stretches of STRETCH words between those of theirs. Every text, trusted or not, is
+    perplexity per byte lies between its language's ``low`` and ``high`` quantiles of the ``n_trusted`` trusted
+    texts: above stands what the language does not look like, below what repeats itself. So must its least
+    likely word lie below the ``high`` quantile of the trusted texts' least likely words (a few bad words hardly
+    move the mean), and its stretches of STRETCH words between those of theirs. Every text, trusted or not, is
     scored by the model that has seen no trusted text of its fold, so that the limits hold for tables of any
-    size. Null and empty texts
-    have no perplexity and are not accepted; a null language is the language ``und``; where a language
-    has no trusted text, the limits are null and every text is accepted; ids may be null (never trusted)
-    or repeat; an empty table gives no rows; further columns are ignored.
+    size. Null and empty texts have no perplexity and are not accepted; texts of any length are scored whole; a
+    null language is the language ``und``; where a language has no trusted text, ``judged`` is false, the
+    limits are null and every text is accepted; ids may be null (never trusted) or repeat, and texts that tie
+    with a limit are accepted; an empty table gives no rows; further columns are ignored, whatever their names.
     """
-    model = quality_model(docs, trusted, id_col, lang_col, text_col)
-    base = mark_trusted(docs.select(id_col, lang_col, text_col), trusted, id_col)
-    s = score(base, model, lang_col, text_col, pass_grams, fold_of(id_col))
-    s = s.select(F.col(id_col).alias("__id"), language(s, lang_col).alias("__lang"), "__trusted", "__bytes", "__logp", *LOCAL)
-    s = written(s, "scores")
-    out = judged(s.withColumnRenamed("__lang", "__own"), written(limits_of(s, low, high), "limits"), F.col("__own"))
-    return out.select(
-        F.col("__id").alias(id_col), F.col("__own").alias("lang"), F.col("__bytes").alias("n_bytes"), F.col("__perplexity").alias("perplexity"),
-        F.col("__low").alias("low"), F.col("__high").alias("high"), F.col("__accepted").alias("accepted"),
-    )
+    s = score(docs.select(id_col, lang_col, text_col), trusted, id_col, lang_col, text_col)
+    s = written(s.select(F.col("row").getField(id_col).alias("id"), "lang", "trusted", "bytes", "logp", *LOCAL), "scores")
+    out = judged(s, written(limits_of(s, low, high), "limits"))
+    return out.select(F.col("id").alias(id_col), F.col("lang").alias("lang"), F.col("bytes").alias("n_bytes"), "perplexity", "low", "high", F.coalesce("n_trusted", F.lit(0).cast("long")).alias("n_trusted"), "judged", "accepted")
 
 
-def accepted_rows(docs: DataFrame, trusted: DataFrame, low: float = LOW, high: float = HIGH, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", pass_grams: int = PASS_GRAMS) -> DataFrame:
-    """The rows of ``docs`` that :func:`classify` accepts, with all their columns; no text is shuffled
-    (as long as one pass carries the model and the trusted identifiers)."""
-    model = quality_model(docs, trusted, id_col, lang_col, text_col)
-    known = mark_trusted(docs.select(id_col, lang_col, text_col), trusted, id_col).filter("__trusted")
-    t = score(known, model, lang_col, text_col, pass_grams, fold_of(id_col))
-    t = t.select(language(t, lang_col).alias("__lang"), "__trusted", "__bytes", "__logp", *LOCAL)
-    limits = written(limits_of(t, low, high), "limits")
-    s = score(docs, model, lang_col, text_col, pass_grams, fold_of(id_col))
-    return judged(s, limits, language(s, lang_col)).filter("__accepted").select(*docs.columns)
+def accepted_rows(docs: DataFrame, trusted: DataFrame, low: float = LOW, high: float = HIGH, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that :func:`classify` accepts, with all their columns."""
+    s = written(score(docs, trusted, id_col, lang_col, text_col), "scores")
+    return judged(s, written(limits_of(s, low, high), "limits")).filter("accepted").select("row.*")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:

@@ -2,8 +2,9 @@ import math
 import random
 from collections import Counter, defaultdict
 
-from pestle.llm.quality import ORDER, classify, count_grams, fold_of, held_out, mark_trusted, quality_model, score
-from pyspark.sql import functions as F
+import numpy as np
+import pyarrow as pa
+from pestle.llm.quality import ORDER, WORD, Texts, accepted_rows, classify, count_grams, fold_of, mark_trusted, quality_model, word_starts
 
 
 def brute_model(texts):
@@ -53,13 +54,13 @@ def test_probabilities_equal_a_plain_model(spark, monkeypatch):
     docs = corpus()
     df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, lang string, gram int")
     trusted = spark.createDataFrame([(i,) for i in range(60)] + [(5,), (None,)], "doc_id long")
-    held = {r.doc_id for r in df.filter(held_out("doc_id")).select("doc_id").distinct().collect()}
+    held = {r.doc_id for r in df.filter(fold_of("doc_id") == 0).select("doc_id").distinct().collect()}
     assert 0 < len(held) < 60
-    model = {(r.lang, r.gram): r.logp for r in quality_model(df, trusted).collect()}
+    model = {(r.lang, r.gram): r.logp for r in quality_model(mark_trusted(df, trusted, "doc_id", "lang"), "text").collect()}
     import pestle.llm.quality as q
 
     monkeypatch.setattr(q, "FEW_LANGUAGES", 0)
-    again = {(r.lang, r.gram): r.logp for r in quality_model(df, trusted).collect()}
+    again = {(r.lang, r.gram): r.logp for r in quality_model(mark_trusted(df, trusted, "doc_id", "lang"), "text").collect()}
     assert again.keys() == model.keys() and all(math.isclose(v, again[k], abs_tol=1e-6) for k, v in model.items())
     for lang in ("en", "fr"):
         p = brute_model([t or "" for i, t, k in docs if i is not None and i < 60 and k == lang and i not in held])
@@ -76,7 +77,7 @@ def test_verdicts(spark):
     df = spark.createDataFrame([(*d, 1) for d in corpus()], "doc_id long, text string, lang string, perplexity int")
     trusted = spark.createDataFrame([(i,) for i in range(60)], "doc_id long")
     got = classify(df, trusted, 0.0, 1.0).collect()
-    held = {r.doc_id for r in df.filter(held_out("doc_id")).select("doc_id").distinct().collect()}
+    held = {r.doc_id for r in df.filter(fold_of("doc_id") == 0).select("doc_id").distinct().collect()}
     assert len(got) == len(corpus())
     by = {r.doc_id: r for r in got if r.doc_id != 1}
     assert not any(by[200 + i].accepted for i in range(5))
@@ -84,48 +85,87 @@ def test_verdicts(spark):
     assert sum(by[i].accepted for i in range(90) if i != 1) >= 80
     assert not by[300].accepted and by[300].perplexity is None and by[301].n_bytes == 0
     assert by[302].lang == "und" and by[302].low is None and by[302].accepted and by[303].accepted
+    assert not by[302].judged and by[302].n_trusted == 0 and by[5].judged and by[5].n_trusted == sum(k == "en" for i, t, k in corpus() if i is not None and i < 60)
     assert by[None].accepted is not None
     assert classify(df.limit(0), trusted).count() == 0
 
 
-def test_many_passes_and_joined_ids_change_nothing(spark, monkeypatch):
+def test_blocks_shards_and_joined_ids_change_nothing(spark, monkeypatch):
+    """Workers are forked anew for each value; they get it from the plan's closures or from the module."""
     import pestle.llm.quality as q
 
     df = spark.createDataFrame(corpus(), "doc_id long, text string, lang string")
     trusted = spark.createDataFrame([(i,) for i in range(60)], "doc_id long")
-    model = quality_model(df, trusted)
-    rows = lambda d: sorted((str(r.doc_id), r["__bytes"], r["__logp"]) for r in d.collect())
-    for a, b in zip(rows(score(df, model)), rows(score(df, model, pass_grams=500)), strict=True):
-        assert a[:2] == b[:2] and math.isclose(a[2], b[2], abs_tol=1e-6)
-    counts = lambda: sorted(map(tuple, count_grams(mark_trusted(df, trusted, "doc_id").select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"), "__trusted")).collect()))
-    want = counts()
+    counts = lambda: sorted(map(tuple, count_grams(mark_trusted(df, trusted, "doc_id", "lang"), "text").collect()))
+    verdicts = lambda: sorted((str(r.doc_id), r.n_bytes, round(r.perplexity or 0, 5), r.accepted) for r in classify(df, trusted).collect())
+    kept = lambda: sorted((str(r.doc_id), r.text) for r in accepted_rows(df, trusted).collect())
+    want = counts(), verdicts(), kept()
+    assert [r[:2] for r in want[2]] == sorted((r[0], t) for r in want[1] if r[3] for i, t, _ in corpus() if str(i) == r[0] and len((t or "").encode()) == r[1])
     monkeypatch.setattr(q, "BROADCAST_IDS", 3)
-    monkeypatch.setattr(q, "CHUNK_BYTES", 50)
-    monkeypatch.setattr(q, "HELD_GRAMS", 10)
-    assert counts() == want
+    monkeypatch.setattr(q, "SHARD_GRAMS", 300)
+    monkeypatch.setattr(q, "LEAST_SHARD", 100)
+    assert (counts(), verdicts(), kept()) == want
 
 
-def test_rows_keep_their_scores_when_the_table_is_read_in_another_order(spark, monkeypatch):
+def test_blocks_and_pieces_of_any_size():
     import pestle.llm.quality as q
 
+    texts = pa.array(["", "abc  def", None, "é" * 50 + " x", "a", "longwordlongwordlongwordlongwordlongwordlongword " * 3, ""])
+    raw = [(t or "").encode() for t in texts.to_pylist()]
+    want = [int.from_bytes((b"\0" * (ORDER - 1) + t)[i : i + ORDER], "big") for t in raw for i in range(len(t))]
+    old = q.PIECE, q.BLOCK_BYTES, q.HELD_BYTES
+    try:
+        for q.PIECE in (1, 2, 3, 7, 1000):
+            assert [int(g) for _, p in Texts(texts).pieces() for g in p] == want
+            assert [int(g) for _, p in Texts(texts.slice(3, 3)).pieces() for g in p] == [int.from_bytes((b"\0" * (ORDER - 1) + t)[i : i + ORDER], "big") for t in raw[3:6] for i in range(len(t))]
+        row = pa.StructArray.from_arrays([texts, pa.array(range(7))], ["text", "id"])
+        batch = pa.RecordBatch.from_arrays([row, pa.array(["x", "y"] * 3 + ["x"]), pa.array([0, 1, 0, 1, 2, 0, 0], pa.int32()), pa.array([True] * 7)], names=["row", "lang", "fold", "trusted"])
+        for q.BLOCK_BYTES, q.HELD_BYTES in ((1, 1), (20, 30), (1 << 20, 40), (1 << 20, 1 << 20)):
+            got = [(lang, fold, r["id"], r["text"]) for lang, fold, b, _ in q.blocks_of(iter([batch, batch.slice(0, 0), batch]), "text") for r in b.column(0).to_pylist()]
+            assert sorted(got, key=str) == sorted(2 * [(lang, f, i, t) for i, (lang, f, t) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), texts.to_pylist()))], key=str)
+    finally:
+        q.PIECE, q.BLOCK_BYTES, q.HELD_BYTES = old
+
+
+def test_words_start_after_white_space_and_every_so_many_bytes():
+    raw = b"ab  cd" + b"x" * 100 + b" y" + b"z" * 64
+    starts = np.array([0, 0, 6, 106, len(raw), len(raw)])
+    want, last = [], None
+    for i in range(len(raw)):
+        if i in (0, 6, 106) or raw[i - 1] <= 32 or i - last == WORD:
+            want.append(i)
+            last = i
+    assert word_starts(np.frombuffer(raw, np.uint8), starts).tolist() == want
+
+
+def test_rows_keep_their_scores_when_the_table_is_read_in_another_order(spark):
     df = spark.createDataFrame(corpus(), "doc_id long, text string, lang string")
     trusted = spark.createDataFrame([(i,) for i in range(60)], "doc_id long")
 
     def anew(batches):  # another order whenever the plan is computed
-        import numpy as np
-
         for b in batches:
             yield b.take(np.random.default_rng().permutation(b.num_rows))
 
-    unsteady = df.mapInArrow(anew, df.schema)
-    model = quality_model(df, trusted)
-    rows = lambda d: sorted((str(r.doc_id), r.text or "", r["__bytes"], round(r["__logp"], 4)) for r in d.collect())
-    assert rows(score(unsteady, model, pass_grams=500)) == rows(score(df, model))
-    verdicts = lambda **k: sorted((str(r.doc_id), r.n_bytes, round(r.perplexity or 0, 4), r.accepted) for r in classify(df, trusted, **k).collect())
-    kept = lambda **k: sorted((str(r.doc_id), r.text) for r in q.accepted_rows(df, trusted, **k).collect())
-    want, whole = verdicts(), kept()
-    monkeypatch.setattr(q, "BROADCAST_IDS", 3)
-    assert verdicts(pass_grams=500) == want and kept(pass_grams=500) == whole
+    verdicts = lambda d: sorted((str(r.doc_id), r.n_bytes, round(r.perplexity or 0, 4), r.accepted) for r in classify(d, trusted).collect())
+    assert verdicts(df.mapInArrow(anew, df.schema)) == verdicts(df)
+
+
+def test_clashing_names_and_whole_rows(spark):
+    names = ["row", "lang", "fold", "trusted", "bytes", "logp", "word", "block", "shard", "perplexity", "own", "low", "accepted"]
+    docs = [(i, t, k, *range(len(names) - 1)) for i, t, k in corpus()]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, " + ", ".join(f"{c} int" for c in names if c != "lang"))
+    got = accepted_rows(df, spark.createDataFrame([(i,) for i in range(60)], "doc_id long"), 0.0, 1.0)
+    assert got.columns == df.columns
+    rows = {tuple(r) for r in got.collect()}
+    assert rows and rows <= set(docs)
+
+
+def test_a_very_long_text(spark):
+    long = " ".join(corpus()[i % 60][1] for i in range(1500))
+    assert len(long) > 200_000
+    df = spark.createDataFrame([*corpus(), (400, long, "en")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in classify(df, spark.createDataFrame([(i,) for i in range(60)], "doc_id long"), 0.0, 1.0).collect()}
+    assert got[400].n_bytes == len(long.encode()) and 1 < got[400].perplexity < 20
 
 
 def test_limits_are_quantiles_of_trusted_texts_at_any_size(spark):
