@@ -37,7 +37,7 @@ BLOCK_BYTES, HELD_BYTES, PIECE = 2 << 20, 16 << 20, 1 << 18
 #: Distinct n-grams of blocks, of all languages together, that a task holds before it passes counts on.
 HELD_GRAMS = 400_000
 #: N-grams of one shard of the model: at most, and below which a smaller model is not cut further.
-SHARD_GRAMS, LEAST_SHARD = 2_000_000, 50_000
+SHARD_GRAMS, LEAST_SHARD = 500_000, 50_000
 UNKNOWN = "und"
 #: Languages up to which their discounts are broadcast; more meet the counts in a salted join.
 FEW_LANGUAGES, SALTS = 10_000, 64
@@ -293,16 +293,13 @@ def requests(rows: DataFrame, text: str, shards: int) -> DataFrame:
 def answers(asked: DataFrame, model: DataFrame, shards: int) -> DataFrame:
     """``block, shard, values``: the log probabilities (32-bit floats) of the n-grams that ``asked`` holds.
 
-    A task reads the n-grams of one shard, and then the requests to it one batch at a time. Of a model too
-    small for one shard a partition, each shard is read by several tasks.
+    A task reads the n-grams of one shard, and then the requests to it one batch at a time.
     """
-    n = shuffle_partitions(asked.sparkSession)
-    salts = max(1, n // shards)
     columns = [F.array(*model.columns[2:]).alias("logp"), *(F.lit(None).cast(t).alias(c) for c, t in (("block", "binary"), ("fold", "int"), ("grams", "binary")))]
-    held = model.select(F.pmod("gram", F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "lang", "gram", *columns)
-    asks = asked.select("shard", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int").alias("salt"), "lang", F.lit(None).cast("bigint").alias("gram"), F.lit(None).cast("array<float>").alias("logp"), "block", "fold", "grams")
-    both = held.unionByName(asks).repartitionById(shards * salts, F.col("shard") * salts + F.col("salt"))
-    both = both.sortWithinPartitions("shard", "salt", F.col("block").isNotNull(), "lang", "gram")
+    held = model.select(F.pmod("gram", F.lit(shards)).cast("int").alias("shard"), "lang", "gram", *columns)
+    asks = asked.select("shard", "lang", F.lit(None).cast("bigint").alias("gram"), F.lit(None).cast("array<float>").alias("logp"), "block", "fold", "grams")
+    both = held.unionByName(asks).repartitionById(shards, "shard")
+    both = both.sortWithinPartitions(F.col("block").isNotNull(), "lang", "gram")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -311,12 +308,12 @@ def answers(asked: DataFrame, model: DataFrame, shards: int) -> DataFrame:
         loaded: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         tables: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for b in batches:
-            split = int(np.count_nonzero(b.column(5).is_null().to_numpy(zero_copy_only=False)))
+            split = int(np.count_nonzero(b.column(4).is_null().to_numpy(zero_copy_only=False)))
             if split:  # n-grams of the model, ascending in each language
                 part = b.slice(0, split)
-                lang = part.column(2).dictionary_encode()
+                lang = part.column(1).dictionary_encode()
                 code = lang.indices.to_numpy()
-                gram, logp = part.column(3).to_numpy(), part.column(4).flatten().to_numpy().reshape(split, -1)
+                gram, logp = part.column(2).to_numpy(), part.column(3).flatten().to_numpy().reshape(split, -1)
                 for i, name in enumerate(lang.dictionary.to_pylist()):
                     own = code == i
                     loaded.setdefault(name, []).append((gram[own], logp[own]))
@@ -327,14 +324,14 @@ def answers(asked: DataFrame, model: DataFrame, shards: int) -> DataFrame:
                 name, parts = loaded.popitem()
                 tables[name] = tuple(np.concatenate(x) for x in zip(*parts))
             values = []
-            for name, fold, grams in zip(*(rest.column(c).to_pylist() for c in (2, 6, 7))):
+            for name, fold, grams in zip(*(rest.column(c).to_pylist() for c in (1, 5, 6))):
                 own = np.cumsum(np.frombuffer(unpack.decompress(grams), np.int64))
                 keys, logp = tables[name]
                 at = np.searchsorted(keys, own)
                 if at[-1] >= len(keys) or (keys[at] != own).any():
                     raise ValueError("the table changed while it was read: an n-gram of it was not counted")
                 values.append(pack.compress(logp[at, fold].tobytes()))
-            yield pa.RecordBatch.from_arrays([rest.column(5), rest.column(0), pa.array(values, pa.binary())], names=["block", "shard", "values"])
+            yield pa.RecordBatch.from_arrays([rest.column(4), rest.column(0), pa.array(values, pa.binary())], names=["block", "shard", "values"])
 
     return both.mapInArrow(run, "block binary, shard int, values binary")
 
