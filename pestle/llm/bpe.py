@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from operator import itemgetter
-from unicodedata import normalize
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,8 +19,11 @@ from pestle.llm.common import shuffle_partitions, text_of
 LEAF = 192
 #: Tokens on either side of a join that the first window holds; it doubles until both sides agree.
 WINDOW = 4
-#: Words whose encoding a worker keeps; the memory is cleared when it is full.
-CACHED_WORDS = 500_000
+#: Bytes, about, of the words whose encoding a task keeps; they are dropped when full and when the task ends.
+CACHED_BYTES = 24 << 20
+#: Characters outside the range whose letters, cases and white space are the same for Python, ``regex`` and the
+#: library (a test tries them all, and all pairs of them); words with others are left to the library.
+FOREIGN = re.compile("[^\\x00-\\x1b\\x20-\\u024f\\u2010-\\u2027\\u2030-\\u203a\\u20a0-\\u20bf]")
 FIRST, SECOND = itemgetter(0), itemgetter(1)
 #: Texts of at least LONG characters are cut into stretches of at most STRETCH that are encoded by different tasks.
 LONG, STRETCH = 262_144, 16_384
@@ -40,18 +43,23 @@ def byte_symbols() -> list[str]:
 class Remembered(dict):
     """Values by word, made when first asked for; long words are not kept."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int = CACHED_BYTES):
         super().__init__()
-        self.make = make
+        self.make, self.most, self.held = make, most, 0
 
     def __missing__(self, word: str):
         value = self.make(word)
         if len(word) <= 64:
-            if len(self) >= CACHED_WORDS:
+            if self.held >= self.most:
                 self.clear()
+            self.held += 320 + 8 * len(word)  # key, ids, decoded text, their pair and the entry
             self[word] = value
         return value
 
+    def clear(self) -> None:
+        super().clear()
+        self.held = 0
+
 
 class WordBpe:
     """Encoder and decoder for one ``tokenizers`` file: split by pattern, byte level, word-end suffix."""
@@ -68,11 +76,9 @@ class WordBpe:
         self.suffix: str = model["end_of_word_suffix"] or ""
         self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
         library = Tokenizer.from_str(spec)
-        self.normalizer, self.model = library.normalizer, library.model
+        self.normalizer, self.pre_tokenizer, self.model = library.normalizer, library.pre_tokenizer, library.model
         if [n["type"] for n in data["normalizer"]["normalizers"]] != ["NFC", "Replace", "Lowercase"]:
             raise ValueError("not the normalizer that words() follows")
-        # Where Python's rules for white space and for lower-casing a sigma differ from the library's.
-        self.unlike = "\x1c\x1d\x1e\x1fΣ"
         split = data["pre_tokenizer"]["pretokenizers"][0]
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.added = {t["content"]: t["id"] for t in data["added_tokens"]}
@@ -137,23 +143,29 @@ class WordBpe:
                 return left[:i] + inner + right[j:]
             n *= 2
 
-    def piece(self, text: str) -> list[str]:
-        """Tokens of one piece of the split pattern: short ones by the library's model."""
-        coded = text if text.isascii() and text.isprintable() else text.encode("utf-8").decode("latin-1").translate(self.byte_map)
+    def coded(self, word: str) -> list[str]:
+        """The pieces of a normalised word, as byte symbols."""
+        if FOREIGN.search(word):
+            return [p for p, _ in self.pre_tokenizer.pre_tokenize_str(word)]
+        symbols = lambda p: p if p.isascii() and p.isprintable() else p.encode("utf-8").decode("latin-1").translate(self.byte_map)
+        return [symbols(p) for p in self.pattern.findall(word)]
+
+    def piece(self, coded: str) -> list[str]:
+        """Tokens of one piece, given as byte symbols: short ones by the library's model."""
         if len(coded) <= self.leaf:
             return [t.value for t in self.model.tokenize(coded)]
         return self.tree([*coded[:-1], coded[-1] + self.suffix])
 
     def word(self, word: str) -> tuple[bytes, str]:
         """Ids (unsigned, 32 bits) and decoded text of a stretch without white space."""
-        tokens = [t for p in self.pattern.findall(word) for t in self.piece(p)]
+        tokens = [t for p in self.coded(word) for t in self.piece(p)]
         return array("I", map(self.vocab.__getitem__, tokens)).tobytes(), " ".join(tokens)
 
     def words(self, text: str) -> list[str]:
         """The normalised text's stretches without white space."""
-        if any(c in text for c in self.unlike):
+        if FOREIGN.search(text):
             return [w for w in self.normalizer.normalize_str(text).split(" ") if w]
-        return normalize("NFC", text).lower().split()
+        return text.lower().split()
 
     def segments(self, text: str) -> Iterator[tuple[str, bool]]:
         """Stretches of text, and the added tokens between them."""
@@ -212,8 +224,7 @@ class WordBpe:
                         yield from ready()
                     continue
                 yield from ready()
-                for piece in self.pattern.findall(word):
-                    coded = piece.encode("utf-8").decode("latin-1").translate(self.byte_map)
+                for coded in self.coded(word):
                     for i in range(0, len(coded), STRETCH):
                         yield unit, PART, i + STRETCH >= len(coded), coded[i : i + STRETCH]
                     unit += 1
@@ -240,8 +251,8 @@ def bpe_encode(df: DataFrame, path: str | None = None, id_col: str = "doc_id", t
     carry. Texts are independent, so the scan's partitions are encoded where they are read. Only texts of
     at least ``long`` characters are cut: their stretches are encoded in parallel by different tasks, and
     one task for each text joins them, re-encoding windows around the cuts inside unsplit pieces.
-    Null and empty texts give no ids and an empty decoded text; ids may be null or repeat; further columns
-    are ignored.
+    Null and empty texts give no ids and an empty decoded text; ids may be null, and repeated rows give repeated
+    rows; an empty table gives no rows; further columns are ignored.
     """
     with open(path or default_path(), encoding="utf-8") as f:
         spec = df.sparkSession.sparkContext.broadcast(f.read())
@@ -264,6 +275,7 @@ def bpe_encode(df: DataFrame, path: str | None = None, id_col: str = "doc_id", t
                     i += 1
                 yield pa.RecordBatch.from_arrays([keys.slice(start, i - start), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], names=["id", "ids", "decoded"])
                 start = i
+        bpe.known.clear()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(spec.value)
@@ -292,6 +304,7 @@ def bpe_encode(df: DataFrame, path: str | None = None, id_col: str = "doc_id", t
                     ids.append(None)
                     tokens.append(bpe.tree(symbols))
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(ids, pa.binary()), pa.array(tokens, pa.list_(pa.string()))], names=["id", "row", "seq", "unit", "kind", "ids", "tokens"])
+        bpe.known.clear()
 
     def assemble(frame):
         import pandas as pd

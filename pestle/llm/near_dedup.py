@@ -34,7 +34,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sorted distinct 64-bit hashes of the shingles of a text; word hashes are remembered."""
 
-    def __init__(self, size: int, cached: int = 400_000):
+    def __init__(self, size: int, cached: int = 100_000):
         self.size, self.cached, self.known = size, cached, {}
 
     def words(self, text: str) -> list[bytes]:

@@ -1,7 +1,7 @@
 import random
 import struct
 
-from pestle.llm.bpe import WordBpe, bpe_encode, default_path
+from pestle.llm.bpe import FOREIGN, WordBpe, bpe_encode, default_path
 from tokenizers import Tokenizer
 
 SPEC = open(default_path(), encoding="utf-8").read()
@@ -37,6 +37,30 @@ def test_tree_equals_whole_for_any_leaf():
             assert bpe.piece(w) == whole.piece(w), w
 
 
+def test_every_code_point_and_every_pair_that_python_handles():
+    bpe = WordBpe(SPEC)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 4000):
+        t = " ".join(f"{c}a{c}É1{c}!{c}" for c in points[at : at + 4000])
+        if bpe.encode(t) != library(t):
+            assert [hex(ord(c)) for c in points[at : at + 4000] if bpe.encode(f"{c}a{c}É1{c}!{c}") != library(f"{c}a{c}É1{c}!{c}")] == []
+    plain = [c for c in points if not FOREIGN.search(c)]
+    assert 600 < len(plain) < 1000
+    for c in plain:
+        t = " ".join(f"{c}{d}" for d in plain) + f" {c}" * 3
+        assert bpe.encode(t) == library(t), hex(ord(c))
+
+
+def test_what_is_remembered_is_bounded():
+    bpe = WordBpe(SPEC)
+    bpe.known.most = 50_000
+    for i in range(2000):
+        bpe.encode(f"word{i} again")
+        assert bpe.known.held <= 51_000 and len(bpe.known) <= 200
+    bpe.known.clear()
+    assert bpe.known.held == 0 and bpe.encode("again") == library("again")
+
+
 def test_long_texts_are_cut_and_joined(spark, monkeypatch):
     import pestle.llm.bpe as b
 
