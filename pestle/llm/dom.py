@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import numpy as np
 
 #: Fixed values from the HTML standard: elements without content, and elements whose content is not markup.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe noframes noembed svg math object canvas audio video select datalist button".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter nobr output progress q rb rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+RAW = frozenset("script style title textarea iframe noframes noembed xmp".split())
+INLINE = frozenset("a abbr acronym audio b bdi bdo big canvas cite code data del dfn em font i ins kbd label mark math meter nobr object output progress q rb rp rt ruby s samp small span strike strong sub sup svg time tt u var video".split())
+INLINE |= frozenset("annotation menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
+INLINE |= frozenset("circle defs desc ellipse g line lineargradient path polygon polyline radialgradient rect stop symbol text textpath tspan use".split())
+#: Controls, which any block but their own options ends, and elements whose content is never shown.
+CONTROLS, OPTIONS = frozenset("button datalist optgroup option select".split()), frozenset("optgroup option".split())
+HIDDEN = frozenset(["template"])
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li dt dd main menu nav ol p pre section summary table ul td th tr tbody thead tfoot".split())
 #: An opening tag ends these open elements, up to the nearest of the second set.
 IMPLIED = {
@@ -23,12 +29,17 @@ IMPLIED = {
     "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
     "body": ({"head"}, set()),
+    "option": ({"option"}, {"select", "datalist", "optgroup"}),
+    "optgroup": ({"option", "optgroup"}, {"select", "datalist"}),
+    "button": ({"button"}, {"form", "table"}),
 }
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)", re.S)
+TAG = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role|itemprop|data-y)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 LABEL = re.compile(r"data-y=\"(\w)\"")
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-SPACE = re.compile(r"[\s​﻿]+")
+SPACE = re.compile(r"\s+")
+#: What ends the content of each RAW element; letters are folded in ASCII only.
+RAW_END = {name: re.compile(f"</{name}(?=[\\s/>])[^>]*(?:>|\\Z)", re.I | re.A) for name in RAW}
 MARKS = re.compile(r"[.,;:!?。、]")
 
 #: Attribute tokens by what they usually name.
@@ -47,7 +58,7 @@ TOKENS = {
 TOKEN_GROUP = {t: i for i, (_, words) in enumerate(TOKENS.items()) for t in words.split()}
 N_GROUPS = len(TOKENS)
 TAGS = [
-    {"nav", "menu"}, {"footer"}, {"aside"}, {"header"}, {"form", "fieldset", "dialog"}, {"article"}, {"main"}, {"h1", "h2", "h3", "h4", "h5", "h6"},
+    {"nav", "menu"}, {"footer"}, {"aside"}, {"header"}, {"form", "fieldset", "dialog", "button", "select", "datalist", "option", "optgroup"}, {"article"}, {"main"}, {"h1", "h2", "h3", "h4", "h5", "h6"},
     {"p", "pre", "blockquote", "figure", "figcaption"}, {"li", "ul", "ol", "dl", "dt", "dd"}, {"table", "tbody", "thead", "tfoot", "tr", "td", "th"}, {"div", "section", "center"}, {"#text"}, {"html", "body"},
 ]
 TAG_GROUP = {t: i for i, group in enumerate(TAGS) for t in group}
@@ -71,28 +82,33 @@ class Page:
 
 
 def parse(html: str, labels: bool = False) -> Page:
-    """Parse any string: unclosed, crossed and cut-off markup included. Nothing raises, nothing is skipped
-    but comments, declarations and the content of ``RAW`` elements."""
+    """Parse any string: unclosed, crossed and cut-off markup included, of any length and depth. Nothing raises,
+    nothing is skipped but comments, declarations and the content of ``RAW`` and ``HIDDEN`` elements. A ``RAW``
+    element without its end tag goes on to the end of the page, as in browsers; any other ends with its parent."""
     page = Page()
     stack: list[tuple[str, int]] = [("#root", 0)]  # block elements
     links = 0  # open links in the current block
     pieces: list[str] = []
     linked = 0
-    lower = None
+    hidden = 0  # open HIDDEN elements
+    opened: Counter[str] = Counter()  # open block elements by name
     at, n = 0, len(html)
 
     def flush() -> None:
         nonlocal linked
         if pieces:
             text = SPACE.sub(" ", unescape("".join(pieces))).strip()
-            if text:
+            if text and not hidden:
                 page.runs.append((stack[-1][1], text, min(linked, len(text))))
             pieces.clear()
         linked = 0
 
     def pop_to(depth: int) -> None:
-        nonlocal links
+        nonlocal links, hidden
         flush()
+        for name, _ in stack[depth:]:
+            opened[name] -= 1
+            hidden -= name in HIDDEN
         del stack[depth:]
         links = 0
 
@@ -134,34 +150,28 @@ def parse(html: str, labels: bool = False) -> Page:
                 flush()
             continue
         if close:
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(0) if not opened[name] else range(len(stack) - 1, 0, -1):
                 if stack[depth][0] == name:
                     pop_to(depth)
                     break
             continue
         if name in RAW:
-            if name in ("select", "button", "textarea"):
+            if name == "textarea":
                 page.inputs[stack[-1][1]] += 1
             else:
                 page.tags[stack[-1][1]] += 1
-            if not attrs.endswith("/"):
-                if lower is None:
-                    lower = html.lower() if len(html.lower()) == n else html
-                end = lower.find("</" + name, at)
-                if end < 0:
-                    at = n
-                else:
-                    end = html.find(">", end)
-                    at = n if end < 0 else end + 1
-            if name not in ("button", "select", "canvas", "object", "svg", "math"):
-                continue
-            pieces.append(" ")
+            end = RAW_END[name].search(html, at)
+            at = end.end() if end else n
             continue
+        if name in ("button", "select"):
+            page.inputs[stack[-1][1]] += 1
+        while stack[-1][0] in CONTROLS and name not in OPTIONS and (name in CLOSES_P or name in CONTROLS):
+            pop_to(len(stack) - 1)
         if name in CLOSES_P and stack[-1][0] == "p":
             pop_to(len(stack) - 1)
         if name in IMPLIED:
             ends, stops = IMPLIED[name]
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(0) if not any(opened[x] for x in ends) else range(len(stack) - 1, 0, -1):
                 if stack[depth][0] in stops:
                     break
                 if stack[depth][0] in ends:
@@ -178,6 +188,8 @@ def parse(html: str, labels: bool = False) -> Page:
         page.label.append(y.group(1) if y else "")
         if not attrs.endswith("/"):
             stack.append((name, len(page.tag) - 1))
+            opened[name] += 1
+            hidden += name in HIDDEN
     flush()
     return page
 

@@ -23,6 +23,7 @@ BATCH_PAGES = 128
 
 def training_page(rng: random.Random) -> str:
     """A page of a random layout whose regions bear ``data-y``: k (article) or d (everything else)."""
+    controls = random.Random(rng.getstate()[1][0])
     syllables = [a + b for a in "bcdfglmnprstv" for b in ("a", "e", "i", "o", "u", "an", "er", "é")]
 
     def words(n: int) -> str:
@@ -82,6 +83,8 @@ def training_page(rng: random.Random) -> str:
                 parts.append(f"<pre>{words(9)}\n{words(5)}</pre>")
         if rng.random() < 0.12:
             parts.insert(rng.randrange(len(parts) + 1), junk(rng.choice(["ad", "share", "related", "notice"])))
+        if controls.random() < 0.08:
+            parts.insert(controls.randrange(len(parts) + 1), controls.choice(['<button data-y="d">Okay</button>', '<select data-y="d"><option>Red<option>Dark green</select>']))
         body = "".join(parts)
         r = rng.random()
         if r < 0.55:
@@ -214,8 +217,8 @@ def extract_text(pages: DataFrame, model: Boosted | None = None, id_col: str = "
 
     The model is trained here, on ``TRAINING_PAGES`` generated layouts, so its size is fixed and it is
     broadcast; pages are handled where they are read, without a shuffle. Null, empty and markup-free html
-    is defined too: no text, or the text itself if it looks like an article; cut-off pages are read to
-    their end. Ids and urls may be null or repeat; an empty table gives no rows; further columns are
+    is defined too: no text, or the text itself if it looks like an article; cut-off, very long and very deep
+    pages are read to their end. Ids and urls may be null or repeat; an empty table gives no rows; further columns are
     ignored.
     """
     carried = pages.sparkSession.sparkContext.broadcast(model or default_model())

@@ -87,6 +87,50 @@ def test_parse_rules():
     assert runs("<p>a &amp;&nbsp; b</p><title>no</title><textarea>no</textarea>") == ["a & b"]
 
 
+P = [f"This is sentence number {i} of the article, which goes on for a while, as articles do." for i in range(6)]
+SHELL = "<html><head><title>t</title></head><body><nav><ul><li><a href=/>Home</a><li><a href=/n>News</a></ul></nav><article><h1>Title</h1>%s</article><footer>&copy; Someone, all rights reserved.</footer></body></html>"
+
+
+@pytest.mark.parametrize(
+    "inside, want",
+    [
+        (f"<p>{P[0]} İ</p><SCRIPT>x('</p>')</SCRIPT><p>{P[1]}</p><script>1</ſcript></sCript >", [P[0] + " İ", P[1]]),
+        (f"<p>{P[0]}</p><!-- a --!><p>{P[1]}</p><!--><p>{P[2]}</p><!---><p>{P[3]}</p><!-- -- > --><p>{P[4]}</p>", P[:5]),
+        (f"<p>{P[0]} <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p><p>{P[1]} <object>seen</object> <canvas>drawn</canvas></p><noscript><p>{P[2]}</p></noscript>", [P[0] + " x=1 holds", P[1] + " seen drawn", P[2]]),
+        (f"<p>{P[0]} ab\u200bcd \ufeffx a&nbsp;&#160;b\t\n c</p><p>{P[1]}</p>", [P[0] + " ab\u200bcd \ufeffx a b c", P[1]]),
+        (f"<p>{P[0]}</p><select><option>Red<option>Green<p>{P[1]}</p><p>{P[2]}</p>", [P[0], P[1], P[2]]),
+        (f"<p>{P[0]}</p><button>Okay<p>{P[1]}</p><template><p>never shown</p></template><p>{P[2]}</p>", [P[0], P[1], P[2]]),
+        (f"<p>{P[0]}</p><video><source src=x><p>{P[1]}</p><svg><title>no</title><path d='x'/></svg><p>{P[2]}</p>", [P[0], P[1], P[2]]),
+        ("".join(f"<p>{x}" for x in P) + f"<div class=ad>Buy this now, it is cheap.</div><p>{P[0]}</p>", [*P, P[0]]),
+    ],
+)
+def test_golden_pages(html_model, inside, want):
+    assert extract_all([SHELL % inside], html_model) == ["\n\n".join(["Title", *want])]
+
+
+@pytest.fixture(scope="module")
+def html_model():
+    return default_model()
+
+
+def test_very_long_and_very_deep_pages(html_model):
+    long = [f"{x} {i}" for i in range(4000) for x in P]
+    assert extract_all([SHELL % "".join(f"<p>{x}</p>" for x in long)], html_model) == ["\n\n".join(["Title", *long])]
+    deep = SHELL % ("<div>" * 30_000 + "</x>" * 30_000 + "<li>" * 2000)
+    assert isinstance(extract_all([deep], html_model)[0], str)
+
+
+def test_query_equals_pages_one_by_one(spark, tmp_path, html_model):
+    from pestle.llm.queries import op10_html_text
+
+    rng = random.Random(5)
+    rows = [(i, f"u{i % 7}", training_page(rng) if i % 10 else [None, "", SHELL % f"<p>{P[0]}</p>"][i % 3]) for i in range(200)]
+    rows += [rows[3], (None, None, rows[4][2])]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    want = [(i, u, t := extract_all([h or ""], html_model)[0], len(t)) for i, u, h in rows]
+    assert sorted(map(tuple, op10_html_text(spark, str(tmp_path)).collect()), key=str) == sorted(want, key=str)
+
+
 def test_boosting_learns():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 5)).astype(np.float32)
