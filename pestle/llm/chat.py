@@ -20,7 +20,8 @@ CALL = "array<struct<id:string,name:string,arguments:string>>"
 
 
 def canonical(value):
-    """Canonical JSON of a variant: no spaces, keys in order of their UTF-8 bytes."""
+    """Canonical JSON of a variant: no spaces, keys in order of their UTF-16 code units (as in RFC 8785), decimals
+    without trailing zeros (1.0 is 1), numbers with an exponent as doubles (1e0 is 1.0)."""
     return F.to_json(value)
 
 
@@ -77,7 +78,7 @@ def format_chat(messages: DataFrame, schemas: DataFrame | None = None, conv: str
 
     Null text is content null; a null role, turn or conversation stays null (nulls sort first and form a
     conversation of their own); ties in turn are ordered by role, text and read order; repeated rows stay;
-    an empty table gives no rows; further columns are ignored. No conversation is gathered in one task:
+    an empty table gives no rows; texts of any length are kept whole; further columns are ignored. No conversation is gathered in one task:
     positions come from a range partitioning and prefix counts.
     """
     m = written(parse(messages, conv, turn, role, text), "messages")

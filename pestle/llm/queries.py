@@ -9,8 +9,44 @@ from pestle.llm import bpe, chat, decontaminate, exact_dedup, html_extract, near
 from pestle.llm.common import table
 
 
+#: Parameters of the tools that :func:`tool_messages` calls: tool, parameter, type, required.
+TOOL_SCHEMAS = [("lookup", "query", "string", True), ("lookup", "limit", "integer", False), ("count", "text", "string", True), ("note", None, None, None)]
+
+
+def tool_messages(conversations: DataFrame) -> DataFrame:
+    """Every row of ``conversations`` (its turn times 4), and tool messages derived from each.
+
+    The table holds no tool messages, so each assistant row also makes a call ``c<turn>`` of a tool, and each
+    user row results of the call that the next turn makes, if it makes one: in time, before their call,
+    repeated, or of a call that nobody makes. The text's length n chooses: n % 4 the tool (one of them in no
+    schema), n % 5 the arguments (right, of a wrong type, missing, not in the schema, no object), n % 6 the
+    results.
+    """
+    t, x = F.col("turn"), F.coalesce("text", F.lit(""))
+    n = F.length(x)
+    whole = F.to_json(F.struct(x.alias("q")))
+    quoted = F.substr(whole, F.lit(6), F.length(whole) - 6)
+    choose = lambda k, *values: F.element_at(F.array(*(v if not isinstance(v, str) else F.lit(v) for v in values)), (n % k + 1).cast("int"))
+    tool = choose(4, "lookup", "count", "note", "other")
+    arguments = choose(
+        5, F.concat(F.lit('{"query": '), quoted, F.lit(', "limit": '), n.cast("string"), F.lit("}")), F.concat(F.lit('{"limit": "'), n.cast("string"), F.lit('"}')),
+        F.concat(F.lit('{"text": '), quoted, F.lit(', "query": '), quoted, F.lit(', "extra": true}')), '"plain"', F.concat(F.lit('{"text": '), quoted, F.lit("}")),
+    )
+    call = F.concat(F.lit('{ "tool_calls": [ { "name": "'), tool, F.lit('", "id": "c'), t.cast("string"), F.lit('", "arguments": '), arguments, F.lit("} ] }"))
+    named = F.when(n % 6 == 3, F.concat(F.lit("x"), t.cast("string"))).otherwise(F.concat(F.lit("c"), (t + 1).cast("string")))
+    result = F.concat(F.lit('{ "tool_call_id": "'), named, F.lit('", "content": '), quoted, F.lit("}"))
+    turns = F.array_compact(F.array(F.when((n % 6).isin(0, 3, 4), 2), F.when((n % 6).isin(1, 2, 4), 6), F.when(n % 6 == 2, 7)))
+    message = lambda turn, role, text: F.struct(turn.cast("long").alias("turn"), role.alias("role"), text.alias("text"))
+    own = F.array(message(t * 4, F.col("role"), F.col("text")))
+    calls = F.when(F.col("role") == "assistant", F.array(message(t * 4 + 1, F.lit("assistant"), call)))
+    results = F.when(F.col("role") == "user", F.transform(turns, lambda k: message(t * 4 + k, F.lit("tool"), result)))
+    none = F.array().cast("array<struct<turn:bigint,role:string,text:string>>")
+    return conversations.select("conv_id", F.inline(F.concat(own, F.coalesce(calls, none), F.coalesce(results, none))))
+
+
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_chat(table(spark, sf_dir, "conversations"))
+    schemas = spark.createDataFrame(TOOL_SCHEMAS, "tool string, param string, type string, required boolean")
+    return chat.format_chat(tool_messages(table(spark, sf_dir, "conversations")), schemas)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,11 +121,34 @@ FROM n WINDOW w AS (PARTITION BY norm ORDER BY len DESC, doc_id)
 """
 
 OP1_SQL = """
-SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS position,
-       0::BIGINT AS n_calls, NULL::VARCHAR AS call_id, NULL::VARCHAR AS link, NULL::BIGINT AS call_turn,
-       0::BIGINT AS n_errors, []::VARCHAR[] AS errors,
-       '{"content":' || to_json(text) || ',"role":' || to_json(role) || '}' AS json
-FROM conversations
+WITH b AS (SELECT conv_id, turn AS t, role, text, to_json(coalesce(text, '')) AS q, length(coalesce(text, '')) AS n FROM conversations),
+given(k, param, got) AS (VALUES (0, 'query', 'string'), (0, 'limit', 'integer'), (1, 'limit', 'string'), (2, 'text', 'string'), (2, 'query', 'string'), (2, 'extra', 'boolean'), (4, 'text', 'string')),
+tools(tool) AS (VALUES ('lookup'), ('count'), ('note')),
+params(tool, param, type, required) AS (VALUES ('lookup', 'query', 'string', true), ('lookup', 'limit', 'integer', false), ('count', 'text', 'string', true)),
+c AS (SELECT conv_id, t, 4 * t + 1 AS turn, 'c' || t AS id, ['lookup', 'count', 'note', 'other'][n % 4 + 1] AS tool, n % 5 AS k, n, q FROM b WHERE role = 'assistant'),
+e AS (SELECT conv_id, t, 'arguments: not an object' AS error FROM c WHERE k = 3
+      UNION ALL SELECT conv_id, t, 'tool: unknown ' || tool FROM c WHERE tool NOT IN (SELECT tool FROM tools)
+      UNION ALL SELECT conv_id, t, CASE WHEN p.type IS NULL THEN g.param || ': not in the schema' ELSE g.param || ': not of type ' || p.type END
+                FROM c JOIN tools USING (tool) JOIN given g USING (k) LEFT JOIN params p ON p.tool = c.tool AND p.param = g.param WHERE p.type IS NULL OR p.type <> g.got
+      UNION ALL SELECT conv_id, t, p.param || ': missing' FROM c JOIN params p ON p.tool = c.tool AND p.required WHERE k <> 3 AND NOT EXISTS (SELECT 1 FROM given g WHERE g.k = c.k AND g.param = p.param)),
+errs AS (SELECT conv_id, t, list(error ORDER BY error) AS errors FROM e GROUP BY conv_id, t),
+r AS (SELECT conv_id, t, 4 * t + unnest(CASE n % 6 WHEN 0 THEN [2] WHEN 1 THEN [6] WHEN 2 THEN [6, 7] WHEN 3 THEN [2] WHEN 4 THEN [2, 6] ELSE [] END) AS turn, CASE WHEN n % 6 = 3 THEN 'x' || t ELSE 'c' || (t + 1) END AS id, q FROM b WHERE role = 'user'),
+l AS (SELECT r.*, c.turn AS call_turn, row_number() OVER (PARTITION BY r.conv_id, r.id ORDER BY r.turn) AS nth FROM r LEFT JOIN c USING (conv_id, id)),
+m AS (SELECT conv_id, 4 * t AS turn, role, text, 0 AS n_calls, NULL::VARCHAR AS call_id, NULL::VARCHAR AS link, NULL::BIGINT AS call_turn, []::VARCHAR[] AS errors, '{"content":' || to_json(text) || ',"role":' || to_json(role) || '}' AS json FROM b
+      UNION ALL
+      SELECT conv_id, c.turn, 'assistant', '{ "tool_calls": [ { "name": "' || tool || '", "id": "' || id || '", "arguments": ' ||
+             CASE k WHEN 0 THEN '{"query": ' || q || ', "limit": ' || n || '}' WHEN 1 THEN '{"limit": "' || n || '"}' WHEN 2 THEN '{"text": ' || q || ', "query": ' || q || ', "extra": true}' WHEN 3 THEN '"plain"' ELSE '{"text": ' || q || '}' END || '} ] }',
+             1, NULL, CASE WHEN EXISTS (SELECT 1 FROM r WHERE r.conv_id = c.conv_id AND r.id = c.id) THEN 'answered' ELSE 'open' END, NULL, coalesce(errors, []),
+             '{"message":{"tool_calls":[{"arguments":' ||
+             CASE k WHEN 0 THEN '{"limit":' || n || ',"query":' || q || '}' WHEN 1 THEN '{"limit":"' || n || '"}' WHEN 2 THEN '{"extra":true,"query":' || q || ',"text":' || q || '}' WHEN 3 THEN '"plain"' ELSE '{"text":' || q || '}' END ||
+             ',"id":"' || id || '","name":"' || tool || '"}]},"role":"assistant"}'
+      FROM c LEFT JOIN errs USING (conv_id, t)
+      UNION ALL
+      SELECT conv_id, turn, 'tool', '{ "tool_call_id": "' || id || '", "content": ' || q || '}', 0, id, CASE WHEN call_turn IS NULL THEN 'orphan' WHEN nth = 1 THEN 'linked' ELSE 'repeated' END, call_turn, [],
+             '{"message":{"content":' || q || ',"tool_call_id":"' || id || '"},"role":"tool"}' FROM l)
+SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN call_turn >= turn THEN call_turn ELSE turn END, coalesce(call_turn >= turn, false), role, text) - 1 AS position,
+       n_calls::BIGINT AS n_calls, call_id, link, call_turn, len(errors) AS n_errors, errors, json
+FROM m
 """
 
 OP9_SQL = """

@@ -53,3 +53,23 @@ def test_one_large_conversation(spark):
     df = spark.createDataFrame([(7, i // 2, "user" if i % 2 else "assistant", f"m{i}") for i in range(3000)] + [(8, 0, "user", "x")], "conv_id long, turn long, role string, text string")
     got = sorted((r.position, r.turn, r.role) for r in format_chat(df).filter("conv_id = 7").collect())
     assert [g[0] for g in got] == list(range(3000)) and [g[1:] for g in got] == sorted((i // 2, "user" if i % 2 else "assistant") for i in range(3000))
+
+
+def test_canonical_numbers_keys_and_long_texts(spark):
+    content = {"～": 1, "\U0001f600": 2, "a": "é/\"\\"}
+    text = json.dumps({"tool_call_id": "q", "content": content}, ensure_ascii=False).replace('"a"', '"n": [1, 1.0, 1.50, 1e0], "a"')
+    df = spark.createDataFrame([(1, 0, "tool", text), (1, 1, "user", "x" * 3_000_000)], "conv_id long, turn long, role string, text string")
+    got = [r.json for r in format_chat(df).sort("turn").collect()]
+    keys = sorted(["a", "n", "～", "\U0001f600"], key=lambda k: k.encode("utf-16-be"))
+    own = {"a": '"é/\\"\\\\"', "n": "[1,1,1.5,1.0]", "～": "1", "\U0001f600": "2"}
+    assert got[0] == '{"message":{"content":{' + ",".join(f'"{k}":{own[k]}' for k in keys) + '},"tool_call_id":"q"},"role":"tool"}'
+    assert got[1] == '{"content":"' + "x" * 3_000_000 + '","role":"user"}'
+
+
+def test_query_links_validates_and_moves(spark):
+    from pestle.llm.queries import op1_chat_format
+
+    rows = op1_chat_format(spark, "/root/testdata/sf0.001").collect()
+    assert {r.link for r in rows} == {None, "answered", "open", "linked", "repeated", "orphan"}
+    assert any(r.n_errors == 0 and r.n_calls for r in rows) and len({e for r in rows for e in r.errors}) >= 8
+    assert any(r.link == "linked" and r.call_turn > r.turn for r in rows)
