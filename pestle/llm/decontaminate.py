@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from pestle.llm.common import shared_dir, text_of
+from pestle.llm.common import shared_dir, text_of, written
 
 #: Fixed value: the words of the contract, ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after lower-casing A-Z. Every
 #: byte of a character beyond ASCII is a word byte, so the rule holds for UTF-8 bytes alike.
@@ -19,8 +20,10 @@ TABLE = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <=
 WINDOW = 10
 #: Words of text that one block of the index holds at most (one document at least).
 BLOCK_WORDS = 400_000
-#: Distinct windows that one pass carries to the tasks; a larger benchmark takes more passes.
+#: Distinct windows that one pass over the index carries to the tasks; a larger benchmark takes more passes.
 PASS_WINDOWS = 200_000
+#: Distinct words of the benchmark up to which only they are indexed; beyond, all words are, by 64-bit hashes.
+VOCABULARY = 1_000_000
 #: Terms of a window, rarest first, that a proximity match needs, and how far each may be displaced.
 NEAR_TERMS, NEAR_SLOP = 4, 5
 
@@ -29,6 +32,12 @@ def words(text: str) -> list[bytes]:
     return text.encode("utf-8").translate(TABLE).split()
 
 
+def hashed(word: bytes) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(word) - (1 << 63)
+
+
 def windows_of(tokens: list[bytes], size: int = WINDOW) -> set[tuple[bytes, ...]]:
     """All windows of ``size`` words; fewer words, but not none, are one window."""
     if not tokens:
@@ -79,9 +88,7 @@ def build_index(docs: DataFrame, vocabulary: list[bytes] | None, path: str, id_c
                     yield pa.RecordBatch.from_pylist([block(ids, rows, counts, terms, places)], out)
                     ids, rows, counts, terms, places, n = [], [], [], [], [], 0
                 if index is None:
-                    import xxhash
-
-                    term = np.fromiter((xxhash.xxh64_intdigest(w) for w in tokens), np.uint64, len(tokens)).astype(np.int64)
+                    term = np.fromiter(map(hashed, tokens), np.int64, len(tokens))
                     place = np.arange(len(tokens))
                 else:
                     get = index.get
@@ -97,7 +104,7 @@ def build_index(docs: DataFrame, vocabulary: list[bytes] | None, path: str, id_c
         if ids:
             yield pa.RecordBatch.from_pylist([block(ids, rows, counts, terms, places)], out)
 
-    batch_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    batch_type = to_arrow_type(docs.schema[id_col].dataType)
     schema = INDEX_SCHEMA.format(kind=kind)
     rows = docs.select(docs[id_col].alias("id"), F.monotonically_increasing_id().alias("row"), text_of(docs[text_col]).alias("text")).mapInArrow(run, schema)
     rows.write.option("compression", "zstd").parquet(path)
@@ -195,34 +202,46 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ``near_items`` also has the items of which only the ``NEAR_TERMS`` rarest terms of a window stand
     within ``NEAR_SLOP`` words of their places.
 
-    The benchmark is read in passes of at most ``pass_windows`` distinct windows, each broadcast, so
-    that what a task holds stays bounded however large the benchmark is; a pass indexes the documents'
-    words that its windows use, in blocks that are never shuffled, counts them over the whole corpus to
-    find the rarest, and searches each block. Null and empty texts have no words and no hits; items
+    The documents' postings of all benchmark words are stored once, in blocks that are never shuffled, and
+    counted over the whole corpus. The benchmark's windows then search them in passes of at most
+    ``pass_windows`` distinct windows, each broadcast, so that what a task holds stays bounded however large the
+    benchmark is. Null and empty texts have no words and no hits; texts of any length are indexed whole; items
     without words match nothing; repeated documents and items are searched as they stand (an item_id that
     repeats is one item); empty tables give no rows or no hits; further columns are ignored.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     items = benchmark.filter(F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("string"), item_text_col)
+    known = benchmark_words(items, item_text_col)
+    number = None if known is None else {w: i for i, w in enumerate(known)}
+    index = build_index(docs, known, f"{shared_dir(spark)}/index", id_col, text_col)
+    counts = written(term_counts(index), "counts")
     parts: list[DataFrame] = []
 
-    def search(group: dict[tuple[bytes, ...], set[str]]) -> None:
-        parts.append(one_pass(docs, group, id_col, text_col, kind, f"{shared_dir(spark)}/index"))
-
     group: dict[tuple[bytes, ...], set[str]] = {}
     for item, text in items.toLocalIterator():
         for w in windows_of(words(text), window):
             if w not in group and len(group) >= pass_windows:
-                search(group)
+                parts.append(one_pass(index, counts, number, group, kind))
                 group = {}
             group.setdefault(w, set()).add("" if item is None else item)
     if group or not parts:
-        search(group)
+        parts.append(one_pass(index, counts, number, group, kind))
     out = parts[0] if len(parts) == 1 else merged(parts)
     return out.drop("row").withColumnRenamed("id", id_col)
 
 
+def benchmark_words(items: DataFrame, text_col: str) -> list[bytes] | None:
+    """The distinct words of all items in order; None if there are more than VOCABULARY."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(sorted({w for t in b.column(0).to_pylist() for w in words(t)}), pa.binary())], names=["word"])
+
+    found = items.select(text_col).mapInArrow(run, "word binary").distinct().limit(VOCABULARY + 1).collect()
+    return None if len(found) > VOCABULARY else sorted(bytes(r["word"]) for r in found)
+
+
 def merged(parts: list[DataFrame]) -> DataFrame:
     """The rows of all passes, one per document: spans that meet become one."""
     out = parts[0]
@@ -249,14 +268,15 @@ RESULT = "id {kind}, row long, n_words long, n_hit long, items array<string>, ne
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def one_pass(docs: DataFrame, group: dict[tuple[bytes, ...], set[str]], id_col: str, text_col: str, kind: str, path: str) -> DataFrame:
-    spark = docs.sparkSession
-    vocabulary = sorted({w for x in group for w in x})
-    number = {w: i for i, w in enumerate(vocabulary)}
-    index = build_index(docs, vocabulary, path, id_col, text_col)
-    frequency = {r["term"]: r["n"] for r in term_counts(index).collect()}  # at most the pass's vocabulary
+def one_pass(index: DataFrame, counts: DataFrame, number: dict[bytes, int] | None, group: dict[tuple[bytes, ...], set[str]], kind: str) -> DataFrame:
+    """The rows of all documents for the windows in ``group``; ``number``: the terms of words, else their hashes."""
+    spark = index.sparkSession
+    term = hashed if number is None else number.__getitem__
     windows = sorted(group)
-    carried = spark.sparkContext.broadcast(([tuple(number[w] for w in x) for x in windows], [sorted(group[x]) for x in windows], frequency))
+    sequences = [tuple(map(term, x)) for x in windows]
+    terms = spark.createDataFrame([(t,) for t in {t for s in sequences for t in s}], "term long")
+    frequency = {r["term"]: r["n"] for r in counts.join(F.broadcast(terms), "term", "left_semi").collect()}  # of the pass's terms
+    carried = spark.sparkContext.broadcast((sequences, [sorted(group[x]) for x in windows], frequency))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequences, owners, counts = carried.value

@@ -69,6 +69,9 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near_items").cast("long").alias("n_near"),
+        F.array_join("near_items", ",").alias("near_items"),
+        F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",").alias("hit_spans"),
     )
 
 
@@ -167,9 +170,25 @@ win AS (SELECT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(le
 pos AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS key FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
 hit AS (SELECT doc_id, item_id, pos.n, i FROM pos JOIN win USING (n, key)),
 cov AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
-it AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM hit GROUP BY doc_id)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM dw LEFT JOIN cov USING (doc_id) LEFT JOIN it USING (doc_id)
+it AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM hit GROUP BY doc_id),
+isle AS (SELECT doc_id, min(p) AS a, max(p) + 1 AS z FROM (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS g FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) - 1 AS p FROM hit)) GROUP BY doc_id, g),
+spans AS (SELECT doc_id, string_agg(a || ':' || z, ',' ORDER BY a) AS hit_spans FROM isle GROUP BY doc_id),
+vocabulary AS (SELECT DISTINCT unnest(w) AS word FROM bw),
+places AS (SELECT doc_id, p - 1 AS p, w[p] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM dw) WHERE w[p] IN (SELECT word FROM vocabulary)),
+freq AS (SELECT word, count(*) AS f FROM places GROUP BY word),
+lens AS (SELECT doc_id, len(w) AS n FROM dw),
+terms AS (SELECT key, o, string_split(key, ' ')[o + 1] AS word FROM (SELECT DISTINCT key, unnest(range(0, n)) AS o FROM win)),
+firsts AS (SELECT key, word, min(o) AS o FROM terms GROUP BY key, word),
+picked AS (SELECT key, word, o, row_number() OVER (PARTITION BY key ORDER BY coalesce(f, 0), o) AS r FROM firsts LEFT JOIN freq USING (word)),
+anchor AS (SELECT key, doc_id, p - o AS start, p FROM picked JOIN places USING (word) WHERE r = 1),
+wanted AS (SELECT key, doc_id, start, p, word, start + o AS want, r FROM anchor JOIN picked USING (key) WHERE r BETWEEN 2 AND 4),
+met AS (SELECT key, doc_id, start, wanted.p, r FROM wanted JOIN places USING (doc_id, word) WHERE abs(places.p - want) <= 5 GROUP BY ALL),
+near AS (SELECT key, doc_id FROM anchor LEFT JOIN (SELECT key, doc_id, start, p, count(*) AS c FROM met GROUP BY ALL) USING (key, doc_id, start, p) JOIN (SELECT key, least(count(*), 4) - 1 AS need FROM picked GROUP BY key) USING (key) WHERE coalesce(c, 0) = need),
+close_by AS (SELECT doc_id, item_id::VARCHAR AS item FROM near JOIN (SELECT DISTINCT key, item_id FROM win) USING (key) UNION SELECT doc_id, item_id::VARCHAR FROM hit),
+nearby AS (SELECT doc_id, count(*) AS n_near, string_agg(item, ',' ORDER BY item) AS near_items FROM close_by GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       coalesce(n_near, 0) AS n_near, coalesce(near_items, '') AS near_items, coalesce(hit_spans, '') AS hit_spans
+FROM dw LEFT JOIN cov USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN nearby USING (doc_id) LEFT JOIN spans USING (doc_id)
 """
 
 OP5_SQL = r"""

@@ -52,6 +52,28 @@ def test_equals_brute_force_in_one_and_many_passes(spark):
             assert r.n_hit == sum(s.end - s.start for s in r.spans) and set(r["items"]) <= set(r.near_items)
 
 
+def test_all_words_indexed_by_their_hashes_change_nothing(spark, monkeypatch):
+    import pestle.llm.decontaminate as m
+
+    docs, items = fixture()
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id int, text string")
+    every = lambda: sorted((str(r.doc_id), r.n_words, str(r["items"]), str(r.near_items), str(r.spans)) for r in decontaminate(d, b, pass_windows=40).collect())
+    want = every()
+    monkeypatch.setattr(m, "VOCABULARY", 3)
+    assert every() == want and rows(decontaminate(d, b)) == brute(docs, items)
+
+
+def test_very_long_text_and_other_ids(spark):
+    item = " ".join(f"w{i}" for i in range(30))
+    long = ("filler words here " * 150_000) + item + " more" * 10
+    d = spark.createDataFrame([("a", long), ("b", "filler words"), (None, item)], "doc_id string, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, [(s.start, s.end) for s in r.spans]) for r in decontaminate(d, spark.createDataFrame([("i", item)], "item_id string, text string")).collect()}
+    assert got == {"a": (450_040, 30, [(450_000, 450_030)]), "b": (2, 0, []), None: (30, 30, [(0, 30)])}
+    dates = decontaminate(d.selectExpr("date'2020-01-01' AS doc_id", "text"), spark.createDataFrame([("i", item)], "item_id string, text string"))
+    assert [str(r.doc_id) for r in dates.collect()] == ["2020-01-01"] * 3
+
+
 def test_proximity(spark):
     d = spark.createDataFrame([(1, "red blue green one two three four five six seven"), (2, "red blue or green one two three four five six seven"), (3, "seven and then red")], "doc_id long, text string")
     b = spark.createDataFrame([(9, "red blue green one two three four five six seven")], "item_id long, text string")
