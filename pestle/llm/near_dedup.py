@@ -139,19 +139,24 @@ def bucket_pairs(members: DataFrame, families: DataFrame, lows: DataFrame) -> Da
     lowest bytes, often enough. ``members``: ``key, node, n``; ``lows``: ``node, low``.
 
     Buckets are dealt in pairs of blocks of about ``2 * BLOCK`` nodes, so a bucket of any size is spread, and
-    pairs are compared inside a task: only those that agree become rows.
+    pairs are compared inside a task: only those become rows that join families of the two blocks, the most alike
+    first. What else agrees lies in one family then, where :func:`family_links` compares it in full.
     """
     placed = members.join(families.select("node", F.col("component").alias("c")).hint("merge"), "node", "left").select("key", "node", "n", F.coalesce("c", "node").alias("family"))
-    mixed = placed.groupBy("key").agg(F.min("family").alias("a"), F.max("family").alias("b")).filter("a <> b").select("key")
-    placed = placed.join(mixed.hint("merge"), "key", "left_semi")
     blocks = F.ceil(F.col("n") / (2 * BLOCK)).cast("long")
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), blocks)).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), blocks))
+    # Buckets of one family need no comparison; they are found, and left out, by (bucket, block), never by bucket alone.
+    some = placed.groupBy("key", "own", "n").agg(F.min("family").alias("a"), F.max("family").alias("b"))
+    mixed = some.groupBy("key").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.first("n").alias("n")).filter("a <> b")
+    mixed = mixed.select("key", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("own"))
+    placed = placed.join(mixed.hint("merge"), ["key", "own"], "left_semi")
+    placed = placed.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     dealt = placed.select("key", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), "own", "node", "family").join(lows.hint("merge"), "node")
     dealt = dealt.select("key", "i", "j", "own", "node", "family", "low").repartition(shuffle_partitions(members.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def compare(own: np.ndarray, node: np.ndarray, family: np.ndarray, low: list[bytes], two: bool) -> tuple[np.ndarray, np.ndarray]:
         m = np.frombuffer(b"".join(low), np.uint8).reshape(len(low), -1)
-        us, vs = [], []
+        us, vs, sames = [], [], []
         step = max(1, 4_000_000 // m.size)
         for at in range(0, len(m), step):
             agree = np.count_nonzero(m[at : at + step, None, :] == m[None, :, :], axis=2)
@@ -159,9 +164,31 @@ def bucket_pairs(members: DataFrame, families: DataFrame, lows: DataFrame) -> Da
             if two:
                 hit &= own[at : at + step, None] != own[None, :]
             x, y = np.nonzero(hit)
-            us.append(node[x + at])
-            vs.append(node[y])
-        return np.concatenate(us), np.concatenate(vs)
+            us.append(x + at)
+            vs.append(y)
+            sames.append(agree[x, y])
+        return spanning(np.concatenate(us), np.concatenate(vs), np.concatenate(sames), node, family)
+
+    def spanning(u: np.ndarray, v: np.ndarray, same: np.ndarray, node: np.ndarray, family: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of all pairs those, most alike first, that join families not joined yet: fewer than there are families."""
+        order = np.argsort(-same, kind="stable")
+        a, b = np.minimum(family[u], family[v])[order], np.maximum(family[u], family[v])[order]
+        _, first = np.unique(np.stack([a, b], 1), axis=0, return_index=True)
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        keep = []
+        for i in np.sort(first).tolist():
+            p, q = top(int(a[i])), top(int(b[i]))
+            if p != q:
+                root[p] = q
+                keep.append(order[i])
+        return node[u[keep]], node[v[keep]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -232,7 +259,7 @@ def verified(pairs: DataFrame, sketches: DataFrame, size: int, percent: int) ->
 
 def common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of every set of ``a`` with every set of ``b``."""
-    out = np.zeros((len(a), len(b)), np.float32)
+    out = np.zeros((len(a), len(b)))  # whole numbers, exact in double precision
     ids = np.concatenate([*a, *b])
     owner = np.repeat(np.arange(len(a) + len(b)), [len(s) for s in (*a, *b)])
     keys, code, times = np.unique(ids, return_inverse=True, return_counts=True)
@@ -312,7 +339,7 @@ def near_dedup(docs: DataFrame, size: int = 5, percent: int = PERCENT, bands: in
 
     Equal sets become one node. In each bucket of a band, members are compared with one centre. Nodes whose
     signatures are alike form families; where a bucket holds several families, all its pairs across them
-    are compared by signature, and those alike join. Inside a family, links confirmed on full sets give
+    are compared by signature, and the families of those alike become one. Inside a family, links confirmed on full sets give
     components, and only nodes outside the largest are compared with all others, block by block. So no
     pair that shares a bucket goes untested, and no task or row stands for all pairs of a group.
 
