@@ -85,6 +85,36 @@ def sparse(metric: str, a: Column, b: Column) -> Column:
     raise ValueError(metric)
 
 
+def optimistic_distance(a: Column, b: Column, alpha: float, beta: float) -> Column:
+    """1 less the best of both Tversky similarities and Tanimoto; two empty fingerprints have distance 0."""
+    best = F.greatest(dense("tversky", a, b, alpha=alpha, beta=beta), dense("tversky", a, b, alpha=beta, beta=alpha), dense("tanimoto", a, b))
+    return F.when((total(a) == 0) & (total(b) == 0), 0.0).otherwise(1 - best)
+
+
+def composite(similarities: list[Column], weights: list[float] | None = None) -> Column:
+    """The weighted mean of component similarities, by default with equal weights."""
+    weights = weights or [1.0] * len(similarities)
+    out = F.lit(0.0)
+    for s, w in zip(similarities, weights, strict=True):
+        out = out + s * w
+    return out / sum(weights)
+
+
+def composite_present(parts: list[tuple[Column, Column]]) -> Column:
+    """The mean Tanimoto of the components (pairs of dense fingerprints) of which at least one side has a bit."""
+    some = [(total(a) > 0) | (total(b) > 0) for a, b in parts]
+    sums, n = F.lit(0.0), F.lit(0)
+    for (a, b), has in zip(parts, some):
+        sums = sums + F.when(has, dense("tanimoto", a, b)).otherwise(0.0)
+        n = n + F.when(has, 1).otherwise(0)
+    return F.when(n == 0, 1.0).otherwise(F.try_divide(sums, n))
+
+
+def pooled(parts: list[tuple[Column, Column]], metric: str = "tanimoto") -> Column:
+    """All components' bits as one fingerprint."""
+    return dense(metric, F.concat(*[a for a, _ in parts]), F.concat(*[b for _, b in parts]))
+
+
 def property_ratio(a: Column, b: Column) -> Column:
     """Mean over properties of the smaller value over the larger."""
     r = F.zip_with(a, b, lambda x, y: F.when(x == y, 1.0).otherwise(F.coalesce(F.try_divide(F.least(x, y), F.greatest(x, y)), F.lit(0.0))))

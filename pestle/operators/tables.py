@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pestle.functions.filter_dsl import expression
+from pestle.operators.similarity import saved
 
 
 def filter_rows(df: DataFrame, text: str, missing_passes: bool = False, others_zero: Sequence[str] = ()) -> DataFrame:
@@ -211,15 +212,22 @@ def running_average(df: DataFrame, order: str, value: str, size: int) -> DataFra
     chunks = numbered.groupBy(F.floor(F.col("__row") / size).alias("chunk")).agg(
         F.count("*").alias("n"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), F.sum(value).alias("__sum")
     )
-    w = W.orderBy("chunk").rowsBetween(W.unboundedPreceding, 0)
-    return chunks.select("chunk", "n", "mean", "min", "max", (F.sum("__sum").over(w) / F.sum("n").over(w)).alias("cumulative"))
+    # The running sums go over the chunks by ranges too: totals of ranges first, then inside each range.
+    per = F.floor(F.col("chunk") / 4096).alias("range")
+    ranges = chunks.groupBy(per).agg(F.sum("__sum").alias("__s"), F.sum("n").alias("__n"))
+    earlier = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)  # one row per 4096 chunks
+    base = ranges.select("range", F.coalesce(F.sum("__s").over(earlier), F.lit(0)).alias("__bs"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__bn"))
+    w = W.partitionBy("range").orderBy("chunk").rowsBetween(W.unboundedPreceding, 0)
+    own = chunks.withColumn("range", F.floor(F.col("chunk") / 4096)).join(base, "range")
+    return own.select("chunk", "n", "mean", "min", "max", ((F.col("__bs") + F.sum("__sum").over(w)) / (F.col("__bn") + F.sum("n").over(w))).alias("cumulative"))
 
 
 def row_numbers(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """``__row``, counted from 0 in the given order."""
+    """``__row``, counted from 0 in the given order. The range partitions are written down before they are counted,
+    so that a lost executor changes neither bounds nor the order of ties."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     part = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
-    part = part.withColumn("__part", F.shiftright("__id", 33)).persist()
+    part = saved(part.withColumn("__part", F.shiftright("__id", 33)))
     counts = part.groupBy("__part").agg(F.count("*").alias("__n"))
     before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)  # one row per partition
     base = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
@@ -294,8 +302,12 @@ def confusion(df: DataFrame, obs: str, pred: str, cutoffs: Sequence[float], obs_
 def mid_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
     """Average ranks of ties, from the counts of distinct values: only those are ordered."""
     counts = df.groupBy(column).agg(F.count("*").alias("__c"))
-    w = W.orderBy(column).rowsBetween(W.unboundedPreceding, -1)
-    ranks = counts.select(column, (F.coalesce(F.sum("__c").over(w), F.lit(0)) + (F.col("__c") + 1) / 2).alias(name))
+    numbered = row_numbers(counts, [column]).withColumn("__range", F.floor(F.col("__row") / 4096))
+    totals = numbered.groupBy("__range").agg(F.sum("__c").alias("__t"))
+    before = W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)  # one row per 4096 distinct values
+    base = totals.select("__range", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__base"))
+    w = W.partitionBy("__range").orderBy("__row").rowsBetween(W.unboundedPreceding, -1)
+    ranks = numbered.join(base, "__range").select(column, (F.col("__base") + F.coalesce(F.sum("__c").over(w), F.lit(0)) + (F.col("__c") + 1) / 2).alias(name))
     return df.join(ranks, column)
 
 
@@ -340,6 +352,77 @@ def svm_lite(df: DataFrame, target: str, columns: Sequence[str], key: str) -> Da
     return df.select(key, F.concat_ws(" ", F.col(target).cast("string"), F.array_compact(cells)).alias("line"))
 
 
+def deviation(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Median and median absolute deviation, times 1.4826, of each column (by group)."""
+    medians = df.groupBy(*by).agg(*(F.percentile(c, 0.5).alias(f"{c}_median") for c in columns))
+    both = df.join(medians, list(by)) if by else df.crossJoin(F.broadcast(medians))  # without groups one row
+    gaps = both.groupBy(*by).agg(*(F.first(f"{c}_median").alias(f"{c}_median") for c in columns), *((F.percentile(F.abs(F.col(c) - F.col(f"{c}_median")), 0.5) * 1.4826).alias(f"{c}_mad") for c in columns))
+    return gaps
+
+
+def extremes(df: DataFrame, value: str, key: str, by: Sequence[str] = ()) -> DataFrame:
+    """Smallest and largest value, the smallest key that has each, and how many rows do (by group)."""
+    ends = df.groupBy(*by).agg(F.min(F.struct(value, key)).alias("low"), F.min(F.struct((-F.col(value)).alias("neg"), F.col(value).alias("v"), F.col(key).alias("k"))).alias("high"))
+    ends = ends.select(*by, F.col("low")[value].alias("min"), F.col("low")[key].alias("min_key"), F.col("high.v").alias("max"), F.col("high.k").alias("max_key"))
+    joined = df.join(ends, list(by)) if by else df.crossJoin(F.broadcast(ends))
+    names = [*by, "min", "min_key", "max", "max_key"]
+    return joined.groupBy(*names).agg(F.count_if(F.col(value) == F.col("min")).alias("n_min"), F.count_if(F.col(value) == F.col("max")).alias("n_max"))
+
+
+def changes(df: DataFrame, order: Sequence[str], column: str) -> DataFrame:
+    """Rows whose ``column`` differs from the row before, in the given order, with that row's value as
+    ``previous``; the first row has none and is returned. Rows are compared by their numbers, not in one window."""
+    numbered = row_numbers(df, order)
+    before = numbered.select((F.col("__row") + 1).alias("__row"), F.col(column).alias("previous"), F.lit(True).alias("__has"))
+    both = numbered.join(before, "__row", "left").filter(F.col("__has").isNull() | ~F.col(column).eqNullSafe(F.col("previous")))
+    return both.drop("__row", "__has")
+
+
+def shuffled_columns(df: DataFrame, seed: int, first: Sequence[str] = ()) -> DataFrame:
+    """The columns in a random order that the seed fixes, those in ``first`` before all others."""
+    import random
+
+    rest = [c for c in df.columns if c not in first]
+    random.Random(seed).shuffle(rest)
+    return df.select(*first, *rest)
+
+
+def common_rows(a: DataFrame, b: DataFrame, keys: Sequence[str], invert: bool = False) -> DataFrame:
+    """Rows of ``a`` whose keys are (or, inverted, are not) in ``b``; null keys are equal to each other."""
+    k = b.select(*(F.col(c).alias(f"__{c}") for c in keys)).distinct()
+    on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys]
+    return a.join(k, on, "left_anti" if invert else "left_semi")
+
+
+def in_stock(inventories: Sequence[DataFrame], key: str, amount: str, least: float, restricted: DataFrame | None = None) -> DataFrame:
+    """Keys whose amounts, summed over all inventories, reach ``least``, without those in ``restricted``."""
+    out = None
+    for i in inventories:
+        one = i.select(F.col(key), F.col(amount).alias("amount"))
+        out = one if out is None else out.unionByName(one)
+    out = out.groupBy(key).agg(F.sum("amount").alias("amount")).filter(F.col("amount") >= least)
+    return out if restricted is None else out.join(restricted.select(key), key, "left_anti")
+
+
+def collate_complements(tables: Sequence[DataFrame], fragment: str, complement: str, count: str) -> DataFrame:
+    """``fragment, total, complements array<struct<complement, n>>`` over all tables, complements in order."""
+    out = None
+    for t in tables:
+        one = t.select(F.col(fragment).alias("fragment"), F.col(complement).alias("complement"), F.col(count).cast("long").alias("n"))
+        out = one if out is None else out.unionByName(one)
+    pairs = out.groupBy("fragment", "complement").agg(F.sum("n").alias("n"))
+    return pairs.groupBy("fragment").agg(F.sum("n").alias("total"), F.array_sort(F.collect_list(F.struct("complement", "n"))).alias("complements"))
+
+
+def grid_overlap(a: DataFrame, b: DataFrame, axes: Sequence[str], value: str, spacing: float, tolerance: float) -> DataFrame:
+    """Grid points of ``a`` with the value at the same point of ``b``, and whether they differ by at most
+    ``tolerance``; points are equal when they round to the same multiple of ``spacing``."""
+    cell = lambda df: df.select(*(F.round(F.col(c) / spacing).cast("long").alias(f"__{c}") for c in axes), *df.columns)
+    right = cell(b).select(*(f"__{c}" for c in axes), F.col(value).alias("other"))
+    both = cell(a).join(right, [f"__{c}" for c in axes])
+    return both.select(*axes, value, "other", (F.abs(F.col(value) - F.col("other")) <= tolerance).alias("overlaps"))
+
+
 def transpose(df: DataFrame, key: str) -> DataFrame:
     return df.transpose(key)
 

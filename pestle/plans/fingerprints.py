@@ -49,7 +49,7 @@ def c_distance_filter(spark, sf):
 
 @query("c_histogram", f"SELECT CAST(floor(d / 0.05 + 1e-9) AS BIGINT) AS bucket, count(*) AS n FROM {TANIMOTO} WHERE a < b GROUP BY 1")
 def c_histogram(spark, sf):
-    return s.distance_histogram(s.distance_matrix(fingerprints(spark, sf)), 0.05)
+    return s.distance_histogram(fingerprints(spark, sf), 0.05)
 
 
 @query("c_incremental_diversity", f"SELECT a AS id, b AS neighbour, round(d, 6) AS distance FROM {TANIMOTO} WHERE b < a QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) = 1")
