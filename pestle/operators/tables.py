@@ -299,21 +299,26 @@ def confusion(df: DataFrame, obs: str, pred: str, cutoffs: Sequence[float], obs_
     return out.select("*", rate("tp", "fp").alias("ppv"), rate("tn", "fn").alias("npv"), rate("tp", "fn").alias("sensitivity"), rate("tn", "fp").alias("specificity"))
 
 
-def mid_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Average ranks of ties, from the counts of distinct values: only those are ordered."""
+def rank_table(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Each distinct value with the average rank of its ties; only the distinct values are ordered, by ranges."""
     counts = df.groupBy(column).agg(F.count("*").alias("__c"))
-    numbered = row_numbers(counts, [column]).withColumn("__range", F.floor(F.col("__row") / 4096))
-    totals = numbered.groupBy("__range").agg(F.sum("__c").alias("__t"))
-    before = W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)  # one row per 4096 distinct values
-    base = totals.select("__range", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__base"))
-    w = W.partitionBy("__range").orderBy("__row").rowsBetween(W.unboundedPreceding, -1)
-    ranks = numbered.join(base, "__range").select(column, (F.col("__base") + F.coalesce(F.sum("__c").over(w), F.lit(0)) + (F.col("__c") + 1) / 2).alias(name))
-    return df.join(ranks, column)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = saved(counts.repartitionByRange(n, column).withColumn("__part", F.spark_partition_id()))
+    totals = placed.groupBy("__part").agg(F.sum("__c").alias("__t"))
+    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)  # one row per partition
+    base = totals.select("__part", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__base"))
+    w = W.partitionBy("__part").orderBy(column).rowsBetween(W.unboundedPreceding, -1)
+    return placed.join(F.broadcast(base), "__part").select(column, (F.col("__base") + F.coalesce(F.sum("__c").over(w), F.lit(0)) + (F.col("__c") + 1) / 2).alias(name))
+
+
+def mid_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Rows with the average rank of their value's ties."""
+    return df.join(rank_table(df, column, name), column)
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     both = df.select(a, b).dropna()
-    ranked = mid_ranks(mid_ranks(both, a, "__ra"), b, "__rb")
+    ranked = both.join(rank_table(both, a, "__ra"), a).join(rank_table(both, b, "__rb"), b)
     return ranked.agg(F.count("*").alias("n"), F.corr("__ra", "__rb").alias("rho"))
 
 
