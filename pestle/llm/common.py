@@ -9,8 +9,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Folders of intermediate tables that :func:`release` may delete.
-FOLDERS: list[str] = []
+#: Folders of intermediate tables by owner, the present owner's last; what has no owner is never released.
+OWNERS: list[list[str]] = [[]]
+
+
+class Owner:
+    """Within ``with owner:`` intermediate tables belong to it, and :func:`release` deletes its tables only."""
+
+    def __init__(self):
+        self.folders: list[str] = []
+
+    def __enter__(self) -> Owner:
+        OWNERS.append(self.folders)
+        return self
+
+    def __exit__(self, *error) -> None:
+        OWNERS.pop()
 
 
 def shared_dir(spark: SparkSession, keep: bool = False) -> str:
@@ -28,14 +42,15 @@ def shared_dir(spark: SparkSession, keep: bool = False) -> str:
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/pestle-{uuid.uuid4().hex}"
     if not keep:
-        FOLDERS.append(path)
+        OWNERS[-1].append(path)
     return path
 
 
 def release(spark: SparkSession) -> None:
-    """Delete all intermediate tables made so far; results that still read them must have been written."""
-    while FOLDERS:
-        remove(spark, FOLDERS.pop())
+    """Delete the present owner's intermediate tables; results that still read them must have been written."""
+    folders = OWNERS[-1]
+    while len(OWNERS) > 1 and folders:
+        remove(spark, folders.pop())
 
 
 def written(df: DataFrame, name: str = "table", keep: bool = False) -> DataFrame:
@@ -48,10 +63,10 @@ def written(df: DataFrame, name: str = "table", keep: bool = False) -> DataFrame
 
 
 def settled(df: DataFrame, name: str = "table") -> DataFrame:
-    """``df`` written down, after which all other intermediate tables are deleted."""
+    """``df`` written down, after which the owner's other intermediate tables are deleted."""
     out = written(df, name, keep=True)
     release(df.sparkSession)
-    FOLDERS.append(out.written_to.rpartition("/")[0])
+    OWNERS[-1].append(out.written_to.rpartition("/")[0])
     return out
 
 
