@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pestle.llm.common import shared_dir, text_of, written
+from pestle.llm.common import shared_dir, steady, text_of, written
 
 #: Fixed value: the characters that do not count, ``[\x20\x09-\x0D]``.
 IGNORED = " \t\n\x0b\x0c\r"
@@ -81,7 +81,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Every row that the state calls a copy is compared byte by byte with the row that stays; should two
     different texts ever share a digest, the query fails rather than dropping one. Rows that repeat an
     identifier are rows of their own, of which one stays. An empty table gives no rows; further columns
-    are ignored.
+    are ignored. Very long texts are rows like others. ``docs`` is read three times; if it is more than
+    read, selected and filtered, it is written down first, so that locators mean the same rows each time.
 
     Digests are streamed from a written table, so no text enters the state. Texts are moved once, and
     only those whose digest prefix (of 2**20) belongs to a group of two or more. Digests that hold at
@@ -89,6 +90,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     spark = docs.sparkSession
     base = shared_dir(spark)
+    docs = steady(docs.select(id_col, text_col))
     rows = digest_rows(docs, id_col, text_col)
     rows.write.parquet(f"{base}/digests")
     rows = spark.read.schema(rows.schema).parquet(f"{base}/digests")

@@ -34,6 +34,12 @@ def test_repeated_and_null_ids_keep_one_row(spark):
     assert exact_dedup(df.limit(0)).count() == 0
 
 
+def test_rows_behind_a_shuffle(spark):
+    df = spark.createDataFrame(ROWS, "doc_id long, text string").repartition(7).union(spark.createDataFrame([(13, None)], "doc_id long, text string"))
+    got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup(df).collect()), key=repr)
+    assert got == brute([*ROWS, (13, None)])
+
+
 def test_state_goes_on_where_it_ended(spark):
     base = shared_dir(spark)
     one = digest_rows(spark.createDataFrame([(5, "a b"), (6, "c")], "doc_id long, text string"))
