@@ -57,7 +57,9 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.pii_spans(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
-    return found.select("doc_id", *map(count, pii.BASE), F.sha2(pii.joined_spans(base).cast("binary"), 256).alias("base_sha256"), pii.joined_spans(F.col("spans")).alias("spans"))
+    digest = F.sha2(pii.joined_spans(base).cast("binary"), 256).alias("base_sha256")
+    more = pii.KINDS[len(pii.BASE) :]
+    return found.select("doc_id", *map(count, pii.BASE), digest, pii.joined_spans(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"), *map(count, more))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

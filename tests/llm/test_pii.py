@@ -3,7 +3,7 @@ import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pestle.llm.pii import find_spans, pii_spans, redact
+from pestle.llm.pii import KINDS, find_spans, pii_spans, redact
 
 
 def brute(text):
@@ -59,3 +59,14 @@ def test_frame(spark):
     assert got == [(0, []), (1, [("email", 0, 8)]), (1, [("email", 0, 8)]), (2, [])]
     assert sorted(r.text for r in redact(df).collect()) == ["", "", "[EMAIL]", "[EMAIL]"]
     assert pii_spans(df.limit(0)).count() == 0
+
+
+def test_query_counts_every_kind(spark, tmp_path):
+    from pestle.llm.queries import op3_pii
+
+    texts = ["me@x.org 1.2.3.4 token=04dbebab91ab33eeaaf9", "ssn 123-45-6789 and https://ex.org/a, IBAN: DE89 3704 0044 0532 0130 00", None, "", "plain words", "x " * 200_000 + "account no. 12345678"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in op3_pii(spark, str(tmp_path)).collect():
+        spans = find_spans(texts[r.doc_id] or "")
+        assert r.n_spans == len(spans) and r.spans == ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
+        assert {k: r[f"n_{k}"] for k in KINDS} == {k: sum(s[0] == k for s in spans) for k in KINDS}
