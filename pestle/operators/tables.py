@@ -149,6 +149,17 @@ def distribution(df: DataFrame, column: str, width: float, normalise: str | None
     return out
 
 
+def overlapping_distribution(df: DataFrame, column: str, step: float, width: float) -> DataFrame:
+    """``bucket, n``: bucket i holds the values in ``[i * step, i * step + width)``, so a value is in several.
+
+    Values are counted by their first and last bucket before they are counted in each of them.
+    """
+    x = F.col(column).cast("double")
+    ends = df.filter(x.isNotNull()).groupBy((F.floor((x - width) / step) + 1).cast("long").alias("first"), F.floor(x / step).cast("long").alias("last")).agg(F.count("*").alias("n"))
+    every = ends.filter("first <= last").select(F.explode(F.sequence("first", "last")).alias("bucket"), "n")
+    return every.groupBy("bucket").agg(F.sum("n").alias("n"))
+
+
 SCALES = ("01", "11", "uv", "mc", "0255")
 
 

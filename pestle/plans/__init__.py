@@ -3,6 +3,6 @@
 
 def load():
     from pestle import registry
-    from pestle.plans import chemistry, conversions, fingerprints, models, records, splits, structures, tabular  # noqa: F401
+    from pestle.plans import chemistry, conversions, expansion, fingerprints, models, records, splits, structures, tabular  # noqa: F401
 
     return registry
