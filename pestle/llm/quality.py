@@ -27,6 +27,8 @@ LOW, HIGH = 0.001, 0.99
 WORD, SHORT_WORD, STRETCH = 32, 6, 48
 #: Local statistics of a text, each with limits of its own: its least likely word, its likeliest and least likely stretch.
 LOCAL = ("word", "dull", "odd")
+#: Quantiles of trusted texts are taken over cells of 1/GRID.
+GRID = 4096
 #: Folds of the identifiers. A text is judged by the model of the trusted texts of the other folds, be it trusted or not.
 HELD_OUT = 5
 #: Trusted identifiers up to which they are broadcast; more are joined by a shuffle.
@@ -427,13 +429,23 @@ def score(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", lang_col:
 
 def limits_of(scores: DataFrame, low: float, high: float) -> DataFrame:
     """Per language its trusted texts and their quantiles (no text was seen by the model that scored it):
-    ``own, n_trusted, low, high, word_high, dull_low, odd_high``."""
+    ``own, n_trusted, low, high, word_high, dull_low, odd_high``.
+
+    Values are counted in cells of 1/GRID, so that the limits do not depend on the order of rows; a limit is
+    the outermost value of its quantile's cell.
+    """
     s = scores.filter("trusted AND bytes > 0").select("lang", F.exp(-F.col("logp") / F.col("bytes")).alias("p"), *LOCAL)
-    q = lambda c, x: F.percentile_approx(c, x, 10_000)
-    return s.groupBy(F.col("lang").alias("own")).agg(
-        F.count("*").alias("n_trusted"), q("p", low).alias("low"), q("p", high).alias("high"),
-        q("word", high).alias("word_high"), q("dull", low).alias("dull_low"), q("odd", high).alias("odd_high"),
-    )
+    wanted = {"low": ("p", low), "high": ("p", high), "word_high": ("word", high), "dull_low": ("dull", low), "odd_high": ("odd", high)}
+    each = s.select("lang", F.explode(F.array(*(F.struct(F.lit(c).alias("what"), F.col(c).cast("double").alias("x")) for c in ("p", *LOCAL)))).alias("v"))
+    each = each.select("lang", "v.what", "v.x").filter("x IS NOT NULL")
+    cells = each.groupBy("lang", "what", F.floor(F.col("x") * GRID).alias("cell")).agg(F.count("*").alias("n"), F.min("x").alias("least"), F.max("x").alias("most"))
+    upto = W.partitionBy("lang", "what").orderBy("cell")  # cells, not texts
+    cells = cells.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(W.partitionBy("lang", "what")))
+    outer = lambda name: F.col("most" if name.endswith("high") else "least")
+    reached = lambda x: F.col("upto") >= F.greatest(F.ceil(x * F.col("all")), F.lit(1))
+    limit = lambda name, what, x: F.min(F.when((F.col("what") == what) & reached(F.lit(x)), outer(name))).alias(name)
+    n = F.max(F.when(F.col("what") == "p", F.col("all"))).alias("n_trusted")
+    return cells.groupBy(F.col("lang").alias("own")).agg(n, *(limit(name, what, x) for name, (what, x) in wanted.items()))
 
 
 def judged(scores: DataFrame, limits: DataFrame) -> DataFrame:

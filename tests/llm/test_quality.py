@@ -202,3 +202,15 @@ def test_a_few_bad_words_and_repeated_stretches_are_seen_in_a_long_text(spark):
     got = {r.doc_id: r for r in classify(df, trusted, 0.0, 1.0).collect()}
     assert all(got[i].low <= got[i].perplexity <= got[i].high for i in (400, 401, 402))
     assert [got[i].accepted for i in (400, 401, 402)] == [False, False, True]
+
+
+def test_limits_do_not_depend_on_the_order_of_rows(spark):
+    from pestle.llm.quality import limits_of
+
+    rng = random.Random(1)
+    rows = [("en", True, 10, -10 * rng.uniform(0.5, 2), rng.uniform(0, 9), rng.uniform(-3, 0), rng.uniform(0, 9)) for _ in range(3000)] + [("fr", True, 5, -7.0, 1.0, 1.0, None), ("de", False, 5, -7.0, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "lang string, trusted boolean, bytes long, logp double, word double, dull double, odd double")
+    one, two = (sorted(limits_of(d, 0.01, 0.99).collect(), key=lambda r: r.own) for d in (df.coalesce(1), df.orderBy("word").repartition(5)))
+    assert one == two and [(r.own, r.n_trusted) for r in one] == [("en", 3000), ("fr", 1)] and one[1].odd_high is None
+    word = sorted(r[4] for r in rows[:3000])
+    assert word[2969] <= one[0].word_high < word[2969] + 1 / 4096
