@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pestle.llm.common import shuffle_partitions, text_of
+from pestle.llm.common import lean, shuffle_partitions, text_of
 
 #: Symbols of the longest stretch that is encoded in one go; longer ones are halved.
 LEAF = 192
@@ -324,7 +324,7 @@ def bpe_encode(df: DataFrame, path: str | None = None, id_col: str = "doc_id", t
 
     size = F.length("text")
     schema = f"id {kind}, ids binary, decoded string"
-    short = texts.filter(size < long).mapInArrow(run, schema)
+    short = texts.filter(size < long).mapInArrow(lean(run, forget=False), schema)
     parts = texts.filter(size >= long).select("id", F.monotonically_increasing_id().alias("row"), "text")
     parts = parts.mapInArrow(cut, f"id {kind}, row bigint, seq bigint, unit bigint, kind string, last boolean, part string")
     parts = parts.repartition(shuffle_partitions(df.sparkSession), "row", "unit", "seq")

@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 #: Folders of intermediate tables by owner, the present owner's last; what has no owner is never released.
 OWNERS: list[list[str]] = [[]]
+#: Settings while an intermediate table is written: a batch for Python holds at most about so many bytes.
+WRITE_CONF = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+#: What a Python worker remembers from one task to the next, by module: the names of cached functions.
+REMEMBERED = {"pestle.llm.bpe": ("encoder",)}
 
 
 class Owner:
@@ -53,10 +63,53 @@ def release(spark: SparkSession) -> None:
         remove(spark, folders.pop())
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+    """Within it the session has the settings ``conf``; afterwards those it had before."""
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def give_back(forget: bool) -> None:
+    """Return what this Python worker has freed to the system; ``forget``: and what it remembers of other tasks.
+
+    Workers serve one stage after the other, and what they hold counts for the executor in all of them.
+    """
+    if forget:
+        for module, names in REMEMBERED.items():
+            for f in names if module in sys.modules else ():
+                getattr(sys.modules[module], f).cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only GNU's C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable, forget: bool = True) -> Callable:
+    """``run`` (for mapInArrow) in a worker that holds nothing of earlier tasks, and keeps nothing afterwards."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if forget:
+            give_back(forget)
+        try:
+            yield from run(batches)
+        finally:
+            give_back(forget)
+
+    return task
+
+
 def written(df: DataFrame, name: str = "table", keep: bool = False) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back: lineage ends there."""
     path = f"{shared_dir(df.sparkSession, keep)}/{name}"
-    df.write.parquet(path)
+    with settings(df.sparkSession, WRITE_CONF):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pestle.llm.common import discard, shuffle_partitions, text_of, written
+from pestle.llm.common import discard, lean, shuffle_partitions, text_of, written
 from pestle.llm.components import components
 
 #: 40 bands of 5 minima miss a pair of similarity 0.8 once in 8 million, and meet one of 0.1 once in 2500.
@@ -116,7 +116,7 @@ def sketch(docs: DataFrame, size: int, bands: int, rows: int, id_col: str, text_
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(minima, pa.binary()), pa.array(low, pa.binary()), pa.array(packed, pa.binary())], names=["id", "row", "n", "digest", "minima", "low", "packed"])
 
     rows_in = docs.select(docs[id_col].alias("id"), F.monotonically_increasing_id().alias("row"), text_of(docs[text_col]).alias("text"))
-    return rows_in.mapInArrow(run, f"id {kind}, row bigint, n bigint, digest binary, minima binary, low binary, packed binary")
+    return rows_in.mapInArrow(lean(run), f"id {kind}, row bigint, n bigint, digest binary, minima binary, low binary, packed binary")
 
 
 def band_keys(sketches: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -131,7 +131,7 @@ def band_keys(sketches: DataFrame, bands: int, rows: int) -> DataFrame:
                 node = np.repeat(b.column(0).to_numpy(zero_copy_only=False), bands)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(node)], names=["key", "node"])
 
-    return sketches.select("node", "minima").mapInArrow(run, "key bigint, node bigint")
+    return sketches.select("node", "minima").mapInArrow(lean(run), "key bigint, node bigint")
 
 
 def bucket_pairs(members: DataFrame, families: DataFrame, lows: DataFrame) -> DataFrame:
@@ -221,7 +221,7 @@ def bucket_pairs(members: DataFrame, families: DataFrame, lows: DataFrame) -> Da
         if held:
             yield groups(pa.Table.from_batches(held))
 
-    return dealt.mapInArrow(run, "u bigint, v bigint").distinct()
+    return dealt.mapInArrow(lean(run), "u bigint, v bigint").distinct()
 
 
 def verified(pairs: DataFrame, sketches: DataFrame, size: int, percent: int) -> DataFrame:
@@ -254,7 +254,7 @@ def verified(pairs: DataFrame, sketches: DataFrame, size: int, percent: int) ->
                 link.append(100 * common >= percent * (len(x) + len(last_set) - common))
             yield pa.RecordBatch.from_arrays([pa.array([us[i] for i in keep], pa.int64()), pa.array([vs[i] for i in keep], pa.int64()), pa.array(link, pa.bool_())], names=["u", "v", "link"])
 
-    return both.select("u", "v", "m_u", "m_v", "p_u", "p_v").mapInArrow(run, "u bigint, v bigint, link boolean")
+    return both.select("u", "v", "m_u", "m_v", "p_u", "p_v").mapInArrow(lean(run), "u bigint, v bigint, link boolean")
 
 
 def common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pestle.llm.common import shuffle_partitions, steady, written
+from pestle.llm.common import lean, shuffle_partitions, steady, written
 
 #: Bytes of an n-gram; packed big-endian into a bigint.
 ORDER = 5
@@ -154,7 +154,7 @@ def count_grams(rows: DataFrame, text: str) -> DataFrame:
                 total = 0
         yield from out()
 
-    counts = rows.mapInArrow(run, f"lang string, gram bigint, {', '.join(f'{c} bigint' for c in names)}")
+    counts = rows.mapInArrow(lean(run), f"lang string, gram bigint, {', '.join(f'{c} bigint' for c in names)}")
     counts = counts.groupBy("lang", "gram").agg(*(F.sum(c).alias(c) for c in names))
     total = sum((F.col(c) for c in names[1:]), F.col(names[0]))
     return counts.select("lang", "gram", *((total - F.col(c)).alias(c) for c in names))
@@ -289,7 +289,7 @@ def requests(rows: DataFrame, text: str, shards: int) -> DataFrame:
                 names=["block", "shard", "lang", "fold", "grams"],
             )
 
-    return rows.mapInArrow(run, "block binary, shard int, lang string, fold int, grams binary")
+    return rows.mapInArrow(lean(run), "block binary, shard int, lang string, fold int, grams binary")
 
 
 def answers(asked: DataFrame, model: DataFrame, shards: int) -> DataFrame:
@@ -335,7 +335,7 @@ def answers(asked: DataFrame, model: DataFrame, shards: int) -> DataFrame:
                 values.append(pack.compress(logp[at, fold].tobytes()))
             yield pa.RecordBatch.from_arrays([rest.column(4), rest.column(0), pa.array(values, pa.binary())], names=["block", "shard", "values"])
 
-    return both.mapInArrow(run, "block binary, shard int, values binary")
+    return both.mapInArrow(lean(run), "block binary, shard int, values binary")
 
 
 def packed_blocks(rows: DataFrame, text: str) -> DataFrame:
@@ -351,7 +351,7 @@ def packed_blocks(rows: DataFrame, text: str) -> DataFrame:
                 out.write_batch(block)
             yield pa.RecordBatch.from_arrays([pa.array([block_key(lang, fold, texts)], pa.binary()), pa.array([lang]), pa.array([pack.compress(sink.getvalue())], pa.binary())], names=["block", "lang", "data"])
 
-    return rows.mapInArrow(run, "block binary, lang string, data binary")
+    return rows.mapInArrow(lean(run), "block binary, lang string, data binary")
 
 
 def scored_blocks(blocks: DataFrame, found: DataFrame, row_type: str, text: str, shards: int) -> DataFrame:
@@ -404,7 +404,7 @@ def scored_blocks(blocks: DataFrame, found: DataFrame, row_type: str, text: str,
                     for block in source:
                         yield score(block, b.column(3)[i].as_py(), values)
 
-    return both.mapInArrow(run, f"row {row_type}, lang string, trusted boolean, bytes bigint, logp double, {', '.join(f'{c} double' for c in LOCAL)}")
+    return both.mapInArrow(lean(run), f"row {row_type}, lang string, trusted boolean, bytes bigint, logp double, {', '.join(f'{c} double' for c in LOCAL)}")
 
 
 def quality_model(rows: DataFrame, text: str) -> DataFrame:
