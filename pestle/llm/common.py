@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 #: Folders of intermediate tables by owner, the present owner's last; what has no owner is never released.
 OWNERS: list[list[str]] = [[]]
-#: Settings while an intermediate table is written: a batch for Python holds at most about so many bytes.
-WRITE_CONF = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+#: Settings while an intermediate table is written: a batch for Python holds at most about so many bytes, and its
+#: shuffle files go when it has ended, not when the driver happens to collect its garbage.
+WRITE_CONF = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 #: What a Python worker remembers from one task to the next, by module: the names of cached functions.
 REMEMBERED = {"pestle.llm.bpe": ("encoder",)}
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pestle.llm.common import lean, shuffle_partitions, steady, written
+from pestle.llm.common import discard, lean, shuffle_partitions, steady, written
 
 #: Bytes of an n-gram; packed big-endian into a bigint.
 ORDER = 5
@@ -410,7 +410,10 @@ def scored_blocks(blocks: DataFrame, found: DataFrame, row_type: str, text: str,
 def quality_model(rows: DataFrame, text: str) -> DataFrame:
     """The written table ``lang, gram, logp, logp1, ...`` of a corpus (``row, lang, fold, trusted``): a model for
     each fold, which has not seen the trusted texts of that fold."""
-    return written(train(written(count_grams(rows, text), "counts")), "model")
+    counts = written(count_grams(rows, text), "counts")
+    model = written(train(counts), "model")
+    discard(counts)
+    return model
 
 
 def score(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:

@@ -1,6 +1,10 @@
+import os
+import time
+
 import pyarrow as pa
 from pestle.llm.bpe import default_path, encoder
 from pestle.llm.common import lean, written
+from pestle.llm.quality import mark_trusted, quality_model
 
 
 def test_a_task_drops_what_the_encoder_left_in_its_worker():
@@ -21,3 +25,21 @@ def test_batches_for_python_are_bounded_in_bytes(spark):
     got = written(rows.mapInArrow(sizes, "n long, bytes long")).collect()
     assert sum(r.n for r in got) == 400 and len(got) > 1 and max(r.bytes for r in got) < 10 << 20
     assert spark.conf.get(key) == before
+
+
+def test_shuffle_files_and_counts_go_when_the_model_is_written(spark, monkeypatch):
+    import pestle.llm.quality as quality
+
+    def files():
+        all_files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for f in all_files.mkString("\n").split("\n") if "shuffle_" in f}
+
+    tables, before = {}, files()
+    monkeypatch.setattr(quality, "written", lambda df, name: tables.setdefault(name, written(df, name)))
+    docs = spark.createDataFrame([(i, "en", f"text {i} of many") for i in range(40)], "doc_id long, lang string, text string")
+    model = quality_model(mark_trusted(docs, docs.select("doc_id"), "doc_id", "lang"), "text")
+    assert model.count() > 0 and not os.path.exists(tables["counts"].written_to.removeprefix("file://"))
+    end = time.time() + 20
+    while (left := files() - before) and time.time() < end:  # executors delete them a little later
+        time.sleep(0.2)
+    assert len(left) <= 8  # only of the count just made
