@@ -43,3 +43,33 @@ def test_shuffle_files_and_counts_go_when_the_model_is_written(spark, monkeypatc
     while (left := files() - before) and time.time() < end:  # executors delete them a little later
         time.sleep(0.2)
     assert len(left) <= 8  # only of the count just made
+
+
+def test_the_driver_gives_freed_native_memory_back(spark):
+    of = spark._jvm.java.lang.Class.forName
+    field = of("sun.misc.Unsafe").getDeclaredField("theUnsafe")
+    field.setAccessible(True)
+    unsafe, pid, size, page = field.get(None), spark._jvm.java.lang.ProcessHandle.current().pid(), 96 << 10, os.sysconf("SC_PAGE_SIZE")
+
+    def resident(blocks):
+        n = 0
+        with open(f"/proc/{pid}/pagemap", "rb") as f:
+            for at in blocks:
+                first, end = -(-at // page), (at + size) // page
+                f.seek(8 * first)
+                n += sum(b >> 7 for b in f.read(8 * (end - first))[7::8])
+        return n * page
+
+    blocks = [unsafe.allocateMemory(size) for _ in range(400)]
+    for at in blocks:
+        unsafe.setMemory(at, size, 1)
+    freed = [at for i, at in enumerate(blocks) if i % 8]  # the rest keep the arena from shrinking by itself
+    for at in freed:
+        unsafe.freeMemory(at)
+    before = resident(freed)
+    out = written(spark.range(10))
+    after = resident(freed)
+    for at in blocks[::8]:
+        unsafe.freeMemory(at)
+    assert out.count() == 10
+    assert before > 0.8 * size * len(freed) and after < 0.3 * before
