@@ -131,8 +131,7 @@ def c_spread(spark, sf):
 
 @query("c_taylor_butina")
 def c_taylor_butina(spark, sf):
-    f = fingerprints(spark, sf)
-    return s.taylor_butina(s.close_pairs(f, 0.45), f)
+    return s.butina(fingerprints(spark, sf), 0.45)
 
 
 @query("c_jarvis_patrick")
