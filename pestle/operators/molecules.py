@@ -83,15 +83,15 @@ def common_structures(a: DataFrame, b: DataFrame, smiles: str = "smiles") -> Dat
     return with_canonical(a, smiles, "__u").join(other, "__u", "left_semi").drop("__u")
 
 
-def substructure_counts(df: DataFrame, queries: dict[str, str], smiles: str = "smiles") -> DataFrame:
-    """One column of unique match counts for each named query."""
+def substructure_counts(df: DataFrame, queries: dict[str, str], smiles: str = "smiles", overlap: bool = True) -> DataFrame:
+    """One column of unique match counts for each named query; without ``overlap`` matches share no atom."""
     schema = ", ".join(f"{k} int" for k in queries)
 
     def count(m: Molecule, built={}) -> dict:  # noqa: B006  a worker's cache
         for k, v in queries.items():
             if k not in built:
                 built[k] = Query(v)
-        return {k: built[k].count(m) for k in queries}
+        return {k: built[k].count(m, overlap=overlap) for k in queries}
 
     out = df.withColumn("__q", _struct(count, schema)(F.col(smiles)))
     return out.select(*df.columns, "__q.*")
