@@ -60,12 +60,13 @@ def with_first_atom(df: DataFrame, query: str, smiles: str = "smiles", name: str
     return df.withColumn(name, _map(rooted, "string")(F.col(smiles)))
 
 
-def with_subset(df: DataFrame, query: str, invert: bool = False, smiles: str = "smiles", name: str = "subset") -> DataFrame:
-    """The structure of the atoms that the query matches anywhere, or of all others; null if there are none."""
+def with_subset(df: DataFrame, query: str, invert: bool = False, smiles: str = "smiles", name: str = "subset", overlap: bool = True) -> DataFrame:
+    """The structure of the atoms that the query matches anywhere, or of all others; null if there are none. Without
+    ``overlap`` matches that share an atom with one before are none."""
 
     def part(m: Molecule, built={}) -> str | None:  # noqa: B006  a worker's cache
         q = built.setdefault(query, Query(query))
-        hit = {a for e in q.embeddings(m) for a in e}
+        hit = {a for e in (q.embeddings(m) if overlap else q.apart(m)) for a in e}
         keep = [i for i in range(len(m)) if (i in hit) != invert]
         m.kekulise()
         return m.subset(keep).smiles() if keep else None
