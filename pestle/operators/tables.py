@@ -107,16 +107,19 @@ def difference(df: DataFrame, a: str, b: str, absolute: bool = False, name: str
 
 
 def column_statistics(df: DataFrame, columns: Sequence[str], percentiles: Sequence[float] = (), by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
-    """``column, n, n_missing, min, max, mean, variance, sd`` and percentiles, in one aggregation."""
+    """``column, n, n_missing, min, max, mean, variance, sd`` and percentiles, the former in one aggregation."""
     stats = []
     for c in columns:
         x = F.col(c).cast("double")
         mean = F.avg(x) if weight is None else F.sum(x * F.col(weight)) / F.sum(F.when(x.isNotNull(), F.col(weight)))
         parts = {"n": F.count(x), "n_missing": F.count_if(x.isNull()), "min": F.min(x), "max": F.max(x), "mean": mean, "variance": F.var_samp(x), "sd": F.stddev_samp(x)}
-        parts |= {f"p{p * 100:g}".replace(".", "_"): F.percentile(x, F.lit(p)) for p in percentiles}
         stats.append(F.struct(F.lit(c).alias("column"), *[v.alias(k) for k, v in parts.items()]).alias(c))
     one = df.groupBy(*by).agg(*stats)
-    return one.select(*by, F.inline(F.array(*[F.col(c) for c in columns])))
+    rows = one.select(*by, F.inline(F.array(*[F.col(c) for c in columns])))
+    if not percentiles:
+        return rows
+    names = [f"p{p * 100:g}".replace(".", "_") for p in percentiles]
+    return beside(rows, exact_percentiles(df, columns, percentiles, by), [*by, "column"], "left").withColumnsRenamed({f"p{i}": f"__p{i}" for i in range(len(percentiles))}).withColumnsRenamed({f"__p{i}": n for i, n in enumerate(names)})
 
 
 def limits(df: DataFrame, columns: Sequence[str], together: bool = False) -> DataFrame:
@@ -368,12 +371,57 @@ def svm_lite(df: DataFrame, target: str, columns: Sequence[str], key: str) -> Da
     return df.select(key, F.concat_ws(" ", F.col(target).cast("string"), F.array_compact(cells)).alias("line"))
 
 
+def beside(df: DataFrame, groups: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Each row with the columns of its group, of which ``groups`` has one row; without ``by`` with its only row."""
+    if not by:
+        return df.crossJoin(F.broadcast(groups))
+    other = groups.withColumnsRenamed({c: f"__by_{c}" for c in by})
+    return df.join(other, reduce(lambda x, y: x & y, [df[c].eqNullSafe(other[f"__by_{c}"]) for c in by]), how).drop(*[f"__by_{c}" for c in by])
+
+
+def exact_percentiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float], by: Sequence[str] = (), width: float = 4e-4) -> DataFrame:
+    """``by, column, p0, p1, ...``: exact, as ``percentile`` gives them, without all of a group's values in one task.
+
+    Sketches bracket each percentile within the share ``width`` of the rows; values below are counted, and distinct
+    values in the bracket are counted and put in order. Should one lie outside, brackets grow, at last to all values.
+    A group without values of a column has no row.
+    """
+    df = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
+    which = [(c, i, p) for c in columns for i, p in enumerate(shares)]
+    while True:
+        whole = width >= 1
+        ends = {c: F.array(*[f(c) for _ in shares for f in (F.min, F.max)]) if whole else F.percentile_approx(c, F.array(*[F.lit(x) for p in shares for x in (max(p - width / 2, 0.0), min(p + width / 2, 1.0))]), 10_000) for c in columns}
+        sketch = saved(df.groupBy(*by).agg(*[x.alias(f"__ends_{c}") for c, x in ends.items()], *[F.count(c).alias(f"__n_{c}") for c in columns]))
+        end = lambda c, k: F.col(f"__ends_{c}")[k]
+        both = beside(df, sketch, by)
+        value = lambda c, i: F.when(F.col(c) >= end(c, 2 * i), F.col(c))  # noqa: E731  none: below the bracket
+        each = [both.filter(F.col(c) <= end(c, 2 * i + 1)).select(*by, F.lit(c).alias("__column"), F.lit(i).alias("__share"), value(c, i).alias("__value"), ((F.col(f"__n_{c}") - 1) * p).alias("__rank")) for c, i, p in which]
+        some = reduce(lambda x, y: x.unionByName(y), each)
+        counts = some.groupBy(*by, "__column", "__share", "__rank", "__value").agg(F.count("*").alias("__k"))
+        upto = counts.withColumn("__upto", F.sum("__k").over(W.partitionBy(*by, "__column", "__share").orderBy(F.asc_nulls_first("__value"))))
+        first = [F.min(F.when(F.col("__upto") > f("__rank"), F.struct("__upto", "__value")))["__value"] for f in (F.floor, F.ceil)]
+        found = saved(upto.groupBy(*by, "__column", "__share", "__rank").agg(*[x.alias(k) for x, k in zip(first, ("__low", "__high"))]))
+        if whole or found.filter("__low IS NULL OR __high IS NULL").isEmpty():
+            break
+        width *= 50
+    over = F.col("__rank") - F.floor("__rank")
+    at = F.when(over == 0, F.col("__low")).otherwise((1 - over) * F.col("__low") + over * F.col("__high"))
+    return found.groupBy(*by, F.col("__column").alias("column")).agg(*[F.max(F.when(F.col("__share") == i, at)).alias(f"p{i}") for i in range(len(shares))])
+
+
+def medians(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """``by`` and each column's exact median, null where a group has no value."""
+    long = exact_percentiles(df, columns, [0.5], by)
+    wide = long.groupBy(*by).agg(*[F.max(F.when(F.col("column") == c, F.col("p0"))).alias(c) for c in columns])
+    return beside(df.select(*by).distinct(), wide, by, "left").select(*by, *columns) if by else wide
+
+
 def deviation(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Median and median absolute deviation, times 1.4826, of each column (by group)."""
-    medians = df.groupBy(*by).agg(*(F.percentile(c, 0.5).alias(f"{c}_median") for c in columns))
-    both = df.join(medians, list(by)) if by else df.crossJoin(F.broadcast(medians))  # without groups one row
-    gaps = both.groupBy(*by).agg(*(F.first(f"{c}_median").alias(f"{c}_median") for c in columns), *((F.percentile(F.abs(F.col(c) - F.col(f"{c}_median")), 0.5) * 1.4826).alias(f"{c}_mad") for c in columns))
-    return gaps
+    middle = saved(medians(df, columns, by).withColumnsRenamed({c: f"{c}_median" for c in columns}))
+    gaps = beside(df, middle, by).select(*by, *[F.abs(F.col(c) - F.col(f"{c}_median")).alias(c) for c in columns])
+    mad = medians(gaps, columns, by).select(*by, *[(F.col(c) * 1.4826).alias(f"{c}_mad") for c in columns])
+    return beside(middle, mad, by)
 
 
 def extremes(df: DataFrame, value: str, key: str, by: Sequence[str] = ()) -> DataFrame:
